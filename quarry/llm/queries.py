@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import quality_rules
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -25,8 +30,8 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {"op2_quality_rules": op2_quality_rules, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_quality_rules": quality_rules.SQL, "op8_exact_dedup": OP8_SQL}
