@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import quality_rules
+from quarry.llm import license_scan, quality_rules, source_mix
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.shared import table
 
@@ -17,6 +17,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,8 +38,12 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_quality_rules": op2_quality_rules, "op8_exact_dedup": op8_exact_dedup}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.SQL, "op8_exact_dedup": OP8_SQL}
+    return {
+        "op2_quality_rules": quality_rules.SQL,
+        "op6_license_scan": license_scan.SQL,
+        "op8_exact_dedup": OP8_SQL,
+    }
