@@ -152,14 +152,22 @@ def certified(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     counts = stored(counts, "rule-counts")
     strata = max(1, counts.count())
     level = delta / (strata * len(tests))
-    passed = {
-        (r, c): binomial_tail(F.col(f"k{i}"), F.col("n"), alpha / len(RULES)) <= level
-        for i, (r, c) in enumerate(tests)
-    }
-    sharpest = {
-        r: F.least(*[F.when(passed[r, c], F.lit(c)) for c in cutoffs]).alias(f"cut_{r}") for r, cutoffs in RULES.items()
-    }
-    return counts.select(F.col("stratum"), *sharpest.values())
+    long = counts.select(
+        "stratum",
+        "n",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k"))
+                    for i, (r, c) in enumerate(tests)
+                ]
+            )
+        ),
+    )
+    passed = long.filter(binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= level)
+    return passed.groupBy("stratum").agg(
+        *[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]
+    )
 
 
 def quality_rules(
