@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import license_scan, pii, quality_rules, source_mix
 from quarry.llm.exact_dedup import exact_dedup
+from quarry.llm.minhash_dedup import near_duplicates
 from quarry.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,21 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+sym AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, b.v FROM reach r JOIN sym b ON r.v = b.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) c ON c.u = d.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -48,6 +68,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality_rules.SQL,
+        "op5_minhash_dedup": OP5_SQL,
         "op6_license_scan": license_scan.SQL,
         "op8_exact_dedup": OP8_SQL,
     }
