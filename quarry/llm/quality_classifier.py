@@ -212,15 +212,10 @@ def _cutoff(scored: DataFrame, labels: DataFrame) -> float:
     """The largest log-odds on a grid of 1/8, at most 0, below which at most ``GOOD_LOST`` of the good documents are."""
     good = labels.filter("quality = 1").select("doc_id").distinct()
     bins = scored.join(good, "doc_id", "left_semi").groupBy(F.floor(F.col("odds") * 8).cast("int").alias("b")).count()
-    rows = sorted(tuple(r) for r in bins.collect())
-    total, below, cut = sum(n for _, n in rows), 0, -14 * 8
-    for b, n in rows:
-        if below > GOOD_LOST * total or b > 0:
-            break
-        cut, below = b, below + n
-    else:
-        cut = min(0, cut + 1)
-    return min(0, cut) / 8
+    # odds are clipped, so there are at most a few hundred bins
+    rows = [tuple(r) for r in bins.collect()]
+    most = GOOD_LOST * sum(n for _, n in rows)
+    return max(c for c in range(-8 * 16, 1) if sum(n for b, n in rows if b < c) <= most) / 8
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import html_extract, license_scan, pii, quality_classifier, quality_rules, source_mix, toxicity
+from quarry.llm import (
+    html_extract,
+    license_scan,
+    pii,
+    piece_nbest,
+    quality_classifier,
+    quality_rules,
+    source_mix,
+    toxicity,
+)
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.minhash_dedup import near_duplicates
 from quarry.llm.shared import table
@@ -22,6 +31,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_nbest.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
