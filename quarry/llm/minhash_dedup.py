@@ -4,11 +4,12 @@
    ``HASHES`` minima (one byte of each for the estimate) and a key for each band of ``ROWS`` minima.
 2. Documents of equal sets form a class; the least ``doc_id`` stands for it. Copies cost nothing further.
 3. Bands are joined by key. A pair of similarity 0.8 shares none of the ``BANDS`` bands with probability 5e-6.
-4. Links are confirmed in rounds, each first on the minima (a margin of 7 standard deviations), then on the full sets.
-   Star rounds link each class to one centre of its buckets, which settles dense groups with one link per class. Buckets
-   that hold several components after that are unsettled: all their pairs across components are compared, in buckets of
-   over ``LARGE`` classes only pairs that share a second band (a pair of 0.8 fails that with probability 8e-5). So no
-   pair is formed inside what is linked already, and nothing is capped.
+4. Links are confirmed in rounds, each first on the minima (a margin of 5 standard deviations), then on the full sets.
+   Star rounds compare each class with one centre of its buckets, which settles most of a dense group with one pair per
+   class. Buckets that hold several components after that are unsettled. In those of up to ``SMALL`` classes the pairs
+   across components are formed and confirmed. In larger ones the classes outside the bucket's largest component are
+   compared with all others: both are dealt into blocks of about ``BLOCK`` classes, a task holds two blocks at a time,
+   and only links that join components leave it. Nothing is capped, and no list of pairs is ever made.
 5. Large-star/small-star over the confirmed links gives the components.
 """
 
@@ -29,9 +30,9 @@ HASHES, ROWS = 240, 6
 BANDS = HASHES // ROWS
 #: Least similarity in hundredths, of intersection to union.
 SIMILAR = 80
-#: Star rounds, and the classes of an unsettled bucket from which a second band must agree.
-STARS, LARGE = 2, 48
-_MATCHES = int(HASHES * 0.8 - 7 * (HASHES * 0.8 * 0.2) ** 0.5)
+#: Star rounds, the classes of an unsettled bucket of which pairs are formed, and those in a block of a larger one.
+STARS, SMALL, BLOCK = 3, 8, 400
+_MATCHES = int(HASHES * 0.8 - 5 * (HASHES * 0.8 * 0.2) ** 0.5)
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -160,12 +161,15 @@ def _labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     return joined.select(*rows.columns, F.coalesce("component", "id").alias("comp"))
 
 
-def _unsettled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the buckets that hold more than one component, with the bucket's size."""
-    open_ = rows.groupBy(*keys).agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component, with the bucket's size, its largest component (``main``)
+    and the number of classes outside that."""
+    parts = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy("band").agg(
+        F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")
     )
-    return rows.join(open_.filter("lo <> hi").select(*keys, "size"), keys)
+    open_ = open_.filter("parts > 1").select("band", "size", F.col("top.comp").alias("main"), F.col("top.n").alias("n_main"))
+    return rows.join(open_, "band")
 
 
 def _centre_pairs(rows: DataFrame, turn: int) -> DataFrame:
@@ -180,16 +184,120 @@ def _centre_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.select("u", F.col("best.v").alias("v"))
 
 
-def _cross_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """All pairs across components that share a small bucket, or a large one and a second band."""
-    small = rows.filter(F.col("size") <= LARGE).select("band", F.lit(0).cast("long").alias("second"), "id", "comp")
-    large = rows.filter(F.col("size") > LARGE).select("band", "id", "comp")
-    finer = large.join(bands.withColumnRenamed("band", "second"), "id").filter("second <> band")
-    finer = _unsettled(finer.select("band", "second", "id", "comp"), ["band", "second"]).drop("size")
-    every = small.unionByName(finer)
-    other = every.select("band", "second", F.col("id").alias("v"), F.col("comp").alias("other"))
-    pairs = every.withColumnRenamed("id", "u").join(other, ["band", "second"])
-    return pairs.filter("u < v and comp <> other").select("u", "v").distinct()
+def _small_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs across components in small unsettled buckets."""
+    small = rows.filter(F.col("size") <= SMALL).select("band", F.col("id").alias("u"), "comp")
+    other = small.select("band", F.col("u").alias("v"), F.col("comp").alias("other"))
+    return small.join(other, "band").filter("u < v and comp <> other").select("u", "v").distinct()
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows of large unsettled buckets, dealt to pairs of blocks: ``band, a, b, across`` and the row's side.
+
+    Blocks of the main component meet those of the rest (``across``), and the latter meet each other.
+    """
+    large = rows.filter(F.col("size") > SMALL).withColumn("rest", F.col("comp") != F.col("main"))
+    n_rest = F.ceil((F.col("size") - F.col("n_main")) / BLOCK).cast("int")
+    n_main = F.ceil(F.col("n_main") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("rest"), n_rest).otherwise(n_main).cast("long")).cast("int")
+    large = large.select("*", mine.alias("mine"), n_rest.alias("n_rest"), n_main.alias("n_mains"))
+
+    def meet(a, b, across, side):
+        return F.struct(a.alias("a"), b.alias("b"), F.lit(across).alias("across"), F.lit(side).alias("side"))
+
+    mine = F.col("mine")
+    to_rest = F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda y: meet(y, mine, True, 1))
+    to_main = F.transform(F.sequence(F.lit(0), F.col("n_mains") - 1), lambda x: meet(mine, x, True, 0))
+    among = F.transform(
+        F.sequence(F.lit(0), F.col("n_rest") - 1), lambda y: meet(F.least(mine, y), F.greatest(mine, y), False, 0)
+    )
+    dealt = F.explode(F.when(F.col("rest"), F.concat(to_main, among)).otherwise(to_rest)).alias("x")
+    return large.select("band", "id", "comp", dealt).select("band", "id", "comp", "x.a", "x.b", "x.across", "x.side")
+
+
+def _find(root: dict, x):
+    while root.get(x, x) != x:
+        root[x] = root.get(root[x], root[x])
+        x = root[x]
+    return x
+
+
+def block_links(ids, comps, sides, sizes, sigs: np.ndarray, sets: list[np.ndarray], across: bool, similar: int) -> list[tuple]:
+    """Links that join components, among the rows of two blocks; ``across``: only from side 0 to side 1."""
+    out, root = [], {}
+    sizes, side = np.asarray(sizes), np.asarray(sides)
+    flat = np.concatenate(sets)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    for i in range(len(ids)):
+        if across and side[i]:
+            continue
+        js = np.flatnonzero(side == 1) if across else np.arange(i + 1, len(ids))
+        if not len(js):
+            continue
+        fits = 100 * np.minimum(sizes[js], sizes[i]) >= similar * np.maximum(sizes[js], sizes[i])
+        js = js[fits]
+        agree = (sigs[js] == sigs[i]).sum(axis=1)
+        js, agree = js[agree >= _MATCHES], agree[agree >= _MATCHES]
+        js = js[np.argsort(-agree, kind="stable")]
+        step = 16
+        while len(js):
+            mine = _find(root, comps[i])
+            js = np.array([j for j in js if _find(root, comps[j]) != mine], dtype=np.int64)
+            part, js = js[:step], js[step:]
+            step *= 4
+            for j in part:
+                other = _find(root, comps[j])
+                if other == _find(root, comps[i]):
+                    continue
+                s = flat[starts[j] : starts[j] + sizes[j]]
+                at = np.minimum(np.searchsorted(sets[i], s), sizes[i] - 1)
+                common = int((sets[i][at] == s).sum())
+                if 100 * common >= similar * int(sizes[i] + sizes[j] - common):
+                    out.append((ids[i], ids[j]))
+                    root[other] = _find(root, comps[i])
+    return out
+
+
+def _block_tasks(similar: int, arrow_id: pa.DataType):
+    """Streams rows sorted by their pair of blocks, one such group in memory at a time."""
+
+    def links(rows: list[dict]) -> pa.RecordBatch:
+        seen, unique = set(), []
+        for r in rows:
+            if r["id"] not in seen:
+                seen.add(r["id"])
+                unique.append(r)
+        sets = [np.frombuffer(r["s"], np.uint64) for r in unique]
+        sigs = np.frombuffer(b"".join(r["sig"] for r in unique), np.uint8).reshape(-1, HASHES)
+        cols = [[r[c] for r in unique] for c in ("id", "comp", "side")]
+        found = block_links(*cols, [len(x) for x in sets], sigs, sets, rows[0]["across"], similar)
+        u, v = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, arrow_id), pa.array(v, arrow_id)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                k = (r["band"], r["a"], r["b"], r["across"])
+                if k != key and held:
+                    yield links(held)
+                    held = []
+                key = k
+                held.append(r)
+        if held:
+            yield links(held)
+
+    return run
+
+
+def _large_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, similar: int, id_type: str) -> DataFrame:
+    dealt = _blocks(rows).join(sigs.select("id", "sig"), "id").join(sets, "id")
+    keys = ["band", "a", "b", "across"]
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    arrow_id = pa.string() if id_type == "string" else pa.int64()
+    found = dealt.mapInArrow(_block_tasks(similar, arrow_id), f"u {'string' if id_type == 'string' else 'long'}, v {'string' if id_type == 'string' else 'long'}")
+    found = found.select(F.col("u").cast(id_type).alias("u"), F.col("v").cast(id_type).alias("v")).distinct()
+    return stored(found, "near-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> DataFrame:
@@ -221,11 +329,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> Data
     sets = stored(wanted.mapInArrow(_sets(k), f"id {id_type}, s binary").dropDuplicates(["id"]), "near-sets")
     label, links = None, None
     for turn in range(STARS + 1):
-        open_rows = stored(_unsettled(_labelled(shared, label), ["band"]), "near-open")
+        open_rows = stored(_unsettled(_labelled(shared, label)), "near-open")
         if open_rows.isEmpty():
             break
-        pairs = _centre_pairs(open_rows, turn) if turn < STARS else _cross_pairs(open_rows, shared)
+        pairs = _centre_pairs(open_rows, turn) if turn < STARS else _small_pairs(open_rows)
         found = _confirmed(pairs, sigs, sets, similar, id_type)
+        if turn == STARS:
+            found = found.unionByName(_large_links(open_rows, sigs, sets, similar, id_type))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             label = stored(components(links), "near-label")
