@@ -1,14 +1,13 @@
 """Whether a configuration file parses: JSON (with // comments), TOML and INI; other kinds are not checked."""
 
-from __future__ import annotations
-
 import configparser
 import json
 import re
 import tomllib
 
 import pandas as pd
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def error_of(path: str, text: str) -> str:
@@ -26,6 +25,9 @@ def error_of(path: str, text: str) -> str:
     return ""
 
 
-@pandas_udf("string")
-def syntax_error(path: pd.Series, text: pd.Series) -> pd.Series:
+def _errors(path: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([error_of(p, t or "") for p, t in zip(path, text, strict=True)], dtype=object)
+
+
+def syntax_error(path: str, text: str) -> Column:
+    return F.pandas_udf(_errors, "string")(path, text)
