@@ -119,6 +119,10 @@ def arch_patterns(modules: DataFrame, edges: DataFrame | None = None) -> DataFra
     return out.withColumn("place", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("confidence"), "pattern")))
 
 
+def _begins(prefix: str):
+    return lambda m: m.startswith(prefix)
+
+
 def design_patterns(classes: DataFrame) -> DataFrame:
     """scan_id, module_id, class_name, pattern, confidence. ``classes``: ..., name, kind, methods (array)."""
     def any_of(*names: str) -> Column:
@@ -137,7 +141,7 @@ def design_patterns(classes: DataFrame) -> DataFrame:
         return hit
 
     data = ("find", "get", "save", "insert", "update", "delete", "query")
-    hits = sum((F.exists("methods", lambda m, p=p: m.startswith(p)).cast("int") for p in data), F.lit(0))
+    hits = sum((F.exists("methods", _begins(p)).cast("int") for p in data), F.lit(0))
     make = F.exists("methods", lambda m: starts(m, ("create", "build", "make", "new")))
     listen = F.exists("methods", lambda m: starts(m, ("register", "addListener", "addObserver", "subscribe", "on_")))
     tell = F.exists("methods", lambda m: starts(m, ("notify", "fire", "publish", "emit")))
