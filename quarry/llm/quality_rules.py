@@ -138,7 +138,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def certified(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum: for each rule the sharpest certified cutoff, or null.
+    """One row per stratum with a certified cutoff: for each rule the sharpest one, or null.
 
     ``labels`` has ``doc_id, quality``; a document counts once however often it is labelled, and null labels
     do not count. The result has as many rows as there are strata.
