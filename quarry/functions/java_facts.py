@@ -210,7 +210,7 @@ def parse(text: str) -> list[dict]:
                 continue
             j = i
             angle = 0
-            while j < end and not (angle <= 0 and t[j]["value"] in ("(", "=", ";", "{")):
+            while j < end and not (angle <= 0 and t[j]["value"] in ("(", "=", ";", "{", ",")):
                 angle += t[j]["value"].count("<") - t[j]["value"].count(">") if t[j]["value"] in ("<", ">", ">>") else 0
                 j += 1
             if j < end and t[j]["value"] == "(" and t[j - 1]["kind"] == "identifier":

@@ -494,3 +494,45 @@ def q_py_call_graph(spark, d):
     calls = n.filter("kind = 'Call' and name is not null and size(funcs) > 0").select("scan_id", "rel_path", F.element_at("funcs", -1).alias("node_id"), F.col("name").alias("callee"))
     calls = calls.join(f.select("scan_id", "rel_path", "node_id", F.col("qname").alias("caller")), ["scan_id", "rel_path", "node_id"])
     return graph.call_links(f.select("scan_id", "rel_path", "name", "qname"), calls)
+
+
+@query()
+def q_full_scan(spark, d):
+    from quarry.plans.scan import scan
+
+    return scan(files(spark)).totals
+
+
+@query()
+def q_arch_edges(spark, d):
+    from quarry.plans.scan import architecture_facts
+
+    return architecture_facts(files(spark))["edges"]
+
+
+@query()
+def q_arch_symbols(spark, d):
+    from quarry.plans.scan import architecture_facts
+
+    return architecture_facts(files(spark))["symbols"]
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def q_progress_stream(spark, d):
+    """The stream's result after all that is there was read; the same rows as the batch form."""
+    import uuid
+
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    name = f"progress_{uuid.uuid4().hex[:8]}"
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    agg = events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    q = agg.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _stream_folder(spark, name)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+
+
+def _stream_folder(spark, name: str) -> str:
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    return f"{base.rstrip('/')}/{name}"

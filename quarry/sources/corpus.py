@@ -5,11 +5,10 @@ and hashing run on the executors. ``read_zip`` unpacks an archive on the driver
 file, and unsafe member names must be refused before anything is written.
 """
 
-from __future__ import annotations
-
 import zipfile
-from pathlib import Path, PurePosixPath
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +32,24 @@ def skipped(path: Column) -> Column:
     return F.exists(dirs, lambda d: d.isin(*SKIPPED_DIRS) | d.startswith("."))
 
 
+def _decode(content: pd.Series) -> pd.Series:
+    def text(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
+        for name in ("utf-8-sig", "gbk", "gb2312"):
+            try:
+                return raw.decode(name)
+            except UnicodeDecodeError:
+                continue
+        return raw.decode("latin-1")
+
+    return content.map(text)
+
+
 def decoded(content: Column) -> Column:
-    """UTF-8 with or without mark, else Latin-1, which reads any bytes."""
-    utf8 = F.try_validate_utf8(content.cast("string"))
-    utf8 = F.when(utf8.startswith("\ufeff"), F.substring(utf8, 2, 1 << 30)).otherwise(utf8)
-    return F.coalesce(utf8, F.decode(content, "ISO-8859-1"))
+    """UTF-8 with or without mark, GBK, GB 2312 or Latin-1: the first that reads the bytes. Spark's own decoder
+    can't try a list of them."""
+    return F.pandas_udf(_decode, "string")(content)
 
 
 def collected(files: DataFrame, project: str, settings: Settings = DEFAULTS) -> DataFrame:
@@ -89,10 +101,6 @@ def read_zip(spark: SparkSession, archive: str, target: str, scan_id: int, proje
     return read_tree(spark, unpack_zip(archive, target), scan_id, project)
 
 
-def stem_of(path: str) -> str:
-    return PurePosixPath(path).stem
-
-
 def from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """A corpus of (scan_id, rel_path, language, text) rows."""
     return spark.createDataFrame(rows, SCHEMA)
