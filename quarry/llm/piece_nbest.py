@@ -2,7 +2,7 @@
 
 A text is a lattice of pieces. The forward Viterbi scores of its nodes are the exact best scores of what lies before
 them, so a backward A-star search with them as heuristic yields segmentations in order, the best first, and never
-expands a node in vain. Pieces hold no white space inside and no line breaks, so a text's lattice falls apart at
+expands a node in vain. Pieces hold spaces at their front only and no line breaks, so a text's lattice falls apart at
 those places into chunks; the best segmentation is that of its chunks, and the N best differ from it only in the
 ``N - 1`` chunks of which the second best loses least. Chunks repeat, so their results are cached in a bounded table.
 
@@ -16,7 +16,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, product
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Chunks that a worker remembers before it starts anew, and the longest that it remembers.
-CACHE, CACHED_LENGTH = 500_000, 40
-SPACE = "▁"
-_CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+#: Chunks, and piece ids of chunks, that a worker remembers before it starts anew.
+CACHE, CACHED_IDS = 700_000, 8_000_000
+_CHUNK = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
 Vocabulary = dict[str, tuple[int, float]]
 
@@ -49,20 +48,64 @@ def load(path: str = MODEL) -> tuple[Vocabulary, tuple[int, ...], list[bytes]]:
             by_byte[int(p.piece[1:-1], 16)] = i
             text[i] = bytes([int(p.piece[1:-1], 16)])
         elif p.type in (1, 4):
-            pieces[p.piece] = (i, p.score)
-            text[i] = p.piece.replace(SPACE, " ").encode()
+            piece = p.piece.replace("\u2581", " ")  # the model's mark for a space
+            pieces[piece] = (i, p.score)
+            text[i] = piece.encode()
     return pieces, tuple(by_byte), text
 
 
+class _Known(dict):
+    """Chunk to its number; a chunk that is looked up for the first time is solved."""
+
+    def __init__(self, solve):
+        self.solve = solve
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = self.solve(chunk)
+        return n
+
+
 class Segmenter:
-    """Segmentations of texts under one vocabulary. Scores add up; a character without a piece costs ``unknown``."""
+    """Segmentations of texts under one vocabulary. Scores add up; a character without a piece costs ``unknown``.
+
+    What is known of chunks lies in arrays, so that a text's result is gathered from them by its chunks' numbers.
+    """
 
     def __init__(self, pieces: Vocabulary, by_byte: tuple[int, ...], text: list[bytes]):
         self.pieces, self.by_byte, self.text = pieces, by_byte, text
         self.longest = max(map(len, pieces))
         # pieces of spaces alone have scores of minus a thousand million: no measure for a lost character
         self.unknown = min((s for _, s in pieces.values() if s > -1e8), default=0.0) - 10
-        self.cache: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.trie: list = [None, {}]
+        for piece, value in pieces.items():
+            node = self.trie
+            for c in piece:
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = value
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = _Known(self._add)
+        self.ways: dict[tuple[str, int], list] = {}
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.score, self.lost = np.zeros(1 << 12), np.zeros(1 << 12)
+        self.same = np.zeros(1 << 12, bool)
+        self.ids, self.n, self.n_ids = np.zeros(1 << 14, np.int32), 0, 0
+
+    def _add(self, chunk: str) -> int:
+        ids, score, lost = self.solve(chunk)
+        n, k = self.n, len(ids)
+        if n == len(self.start):
+            for name in ("start", "size", "score", "lost", "same"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        while self.n_ids + k > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.start[n], self.size[n], self.score[n], self.lost[n] = self.n_ids, k, score, lost
+        self.same[n] = b"".join([self.text[i] for i in ids]) == chunk.encode("utf-8", "surrogatepass")
+        self.ids[self.n_ids : self.n_ids + k] = ids
+        self.n, self.n_ids = n + 1, self.n_ids + k
+        return n
 
     def edges(self, chunk: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end the (start, ids, score) of the pieces that end there, the longest first."""
@@ -97,47 +140,44 @@ class Segmenter:
         Seen from the end, the second best leaves the best path at one of its nodes and goes on by the best way to
         the start; so it loses the least difference between the two best scores at a node of the best path.
         """
-        get, longest, n = self.pieces.get, self.longest, len(chunk)
-        best, second, by = [0.0] * (n + 1), [0.0] * (n + 1), [(0, ())] * (n + 1)
-        for j in range(1, n + 1):
-            top = other = -1e300
-            at: tuple = ()
-            p = None
-            for i in range(j - longest if j > longest else 0, j):
-                p = get(chunk[i:j])
+        n, root, unknown = len(chunk), self.trie, self.unknown
+        best, second = [-1e300] * (n + 1), [-1e300] * (n + 1)
+        by: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here, node, j = best[i], root, i
+            while j < n:
+                node = node[1].get(chunk[j])
+                if node is None:
+                    break
+                j += 1
+                p = node[0]
                 if p is not None:
-                    v = best[i] + p[1]
-                    if v > top:
-                        top, other, at = v, top, (i, (p[0],))
-                    elif v > other:
-                        other = v
-            if p is None:
-                v = best[j - 1] + self.unknown
-                if v > top:
-                    raw = chunk[j - 1].encode("utf-8", "surrogatepass")
-                    top, other, at = v, top, (j - 1, tuple(self.by_byte[x] for x in raw))
-                elif v > other:
-                    other = v
-            best[j], second[j], by[j] = top, other, at
-        ids: list[tuple[int, ...]] = []
+                    v = here + p[1]
+                    if v > best[j]:
+                        second[j], best[j], by[j] = best[j], v, (i, p[0])
+                    elif v > second[j]:
+                        second[j] = v
+            p = root[1].get(chunk[i])
+            if p is None or p[0] is None:
+                v, j = here + unknown, i + 1
+                if v > best[j]:
+                    second[j], best[j], by[j] = best[j], v, (i, -1)
+                elif v > second[j]:
+                    second[j] = v
+        ids: list[int] = []
         lost, j = float("inf"), n
         while j:
             if best[j] - second[j] < lost:
                 lost = best[j] - second[j]
-            j, piece = by[j]
-            ids.append(piece)
+            i, piece = by[j]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += [self.by_byte[x] for x in reversed(chunk[i].encode("utf-8", "surrogatepass"))]
+            j = i
         ids.reverse()
-        return tuple(chain.from_iterable(ids)), best[n], lost if lost < 1e200 else float("inf")
-
-    def known(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
-        found = self.cache.get(chunk)
-        if found is None:
-            found = self.solve(chunk)
-            if len(chunk) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[chunk] = found
-        return found
+        return tuple(ids), best[n], lost if lost < 1e200 else float("inf")
 
     def chunk_nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, ids): backward A-star, with the forward scores as exact heuristic.
@@ -157,45 +197,55 @@ class Segmenter:
                 heapq.heappush(heap, (-(best[i] + s + after), size + 1, piece + ids, i, after + s))
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        """A text's chunks; the mark for spaces, where it stands in the text itself, is a chunk of its own."""
-        if not text:
-            return []
-        out: list[str] = []
-        for k, part in enumerate((" " + text).split(SPACE)):
-            if k:
-                out.append("")
-            out += _CHUNK.findall(part.replace(" ", SPACE))
-        return out
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """A text's chunks, with the space that the model puts in front."""
+        return _CHUNK.findall(" " + text) if text else []
+
+    def _ways(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        found = self.ways.get((chunk, n))
+        if found is None:
+            if len(self.ways) > 50_000:
+                self.ways.clear()
+            found = self.ways[chunk, n] = self.chunk_nbest(chunk, n)
+        return found
 
-    def encode(self, text: str, n: int = 1) -> tuple[list[int], float, list[tuple[float, int, dict[int, tuple[int, ...]]]]]:
-        """Ids and score of the best segmentation; the ``n`` best as (score, pieces, what replaces which chunk)."""
-        chunks, cache = self.chunks(text), self.cache
-        mark = tuple(self.by_byte[b] for b in SPACE.encode())
-        solved = [
-            cache[c] if c in cache else self.known(c) if c else (mark, self.unknown, float("inf")) for c in chunks
-        ]
-        ids = list(chain.from_iterable([s[0] for s in solved]))
-        score = sum([s[1] for s in solved])
-        if n <= 1 or not chunks:
-            return ids, score, [(score, len(ids), {})]
-        least = heapq.nsmallest(n - 1, zip([s[2] for s in solved], range(len(chunks)), strict=True))
-        open_ = [k for lost, k in least if lost < float("inf")]
-        lists = [self.chunk_nbest(chunks[k], n) for k in open_]
-        ways = []
-        for way in product(*lists):
-            total = score + sum(w[0] - solved[k][1] for w, k in zip(way, open_, strict=True))
-            size = len(ids) + sum(len(w[1]) - len(solved[k][0]) for w, k in zip(way, open_, strict=True))
-            ways.append((-total, size, [w[1] for w in way]))
-        ways.sort()
-        return ids, score, [(-t, size, dict(zip(open_, way, strict=True))) for t, size, way in ways[:n]]
+    def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, float, list[tuple[float, int, dict[int, tuple[int, ...]]]], bool]:
+        """Ids and score of the best segmentation; the ``n`` best as (score, pieces, what replaces which chunk); and
+        whether the ids decode to the text: decoding joins what the ids stand for, so each chunk is tried once."""
+        if self.n > CACHE or self.n_ids > CACHED_IDS:
+            self.forget()
+        chunks = self.chunks(text)
+        if not chunks:
+            return np.zeros(0, np.int32), 0.0, [(0.0, 0, {})], True
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        size, lost = self.size[at], self.lost[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1])
+        ids = self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(total)]
+        score = float(self.score[at].sum())
+        same = bool(self.same[at].all()) and "".join(chunks) == " " + text
+        if n <= 1:
+            return ids, score, [(score, total, {})], same
+        few = np.argpartition(lost, n - 2)[: n - 1] if len(lost) > n - 1 else np.arange(len(lost))
+        open_ = [int(k) for k in few if lost[k] < float("inf")]
+        open_.sort(key=lambda k: (lost[k], k))
+        # chunk by chunk, only the n best of what went before can go on
+        ways: list[tuple[float, int, tuple]] = [(-score, total, ())]
+        for k in open_:
+            base, length = float(self.score[at[k]]), int(size[k])
+            ways = sorted(
+                (t - s + base, z + len(piece) - length, (*way, piece))
+                for t, z, way in ways
+                for s, piece in self._ways(chunks[k], n)
+            )[:n]
+        return ids, score, [(-t, z, dict(zip(open_, way, strict=True))) for t, z, way in ways], same
 
     def nbest(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of a text as (score, ids)."""
         chunks, out = self.chunks(text), []
-        mark = tuple(self.by_byte[b] for b in SPACE.encode())
         for score, _, other in self.encode(text, n)[2]:
-            parts = [other.get(k) or (self.known(c)[0] if c else mark) for k, c in enumerate(chunks)]
+            parts = [other[k] if k in other else self.solve(c)[0] for k, c in enumerate(chunks)]
             out.append((score, list(chain.from_iterable(parts))))
         return out
 
@@ -218,12 +268,12 @@ def _encode(vocabulary, key: str, n: int, wide: bool):
             sizes, scores, ids, shas, n_scores, n_sizes, same = [], [], [], [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                row, score, ways = seg.encode(text, n)
-                raw = np.array(row, dtype).tobytes()
+                row, score, ways, whole = seg.encode(text, n)
+                raw = row.astype(dtype).tobytes()
                 sizes.append(len(row)), scores.append(score), ids.append(raw)
                 shas.append(hashlib.sha256(raw).hexdigest())
                 n_scores.append([w[0] for w in ways]), n_sizes.append([w[1] for w in ways])
-                same.append(seg.decode(row) == text)
+                same.append(whole)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
