@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Chunks, and piece ids of chunks, that a worker remembers before it starts anew.
-CACHE, CACHED_IDS = 700_000, 8_000_000
+#: Chunks, and piece ids of chunks, that a task remembers before it starts anew.
+CACHE, CACHED_IDS = 300_000, 4_000_000
 _CHUNK = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
 Vocabulary = dict[str, tuple[int, float]]
@@ -254,16 +254,12 @@ class Segmenter:
         return b"".join(map(self.text.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-_ready: dict[str, Segmenter] = {}
-
-
-def _encode(vocabulary, key: str, n: int, wide: bool):
+def _encode(vocabulary, n: int, wide: bool):
     dtype = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _ready:
-            _ready[key] = Segmenter(*vocabulary.value)
-        seg = _ready[key]
+        # one per task: a worker serves other operators too, and must not hold this one's memory meanwhile
+        seg = Segmenter(*vocabulary.value)
         for batch in batches:
             sizes, scores, ids, shas, n_scores, n_sizes, same = [], [], [], [], [], [], []
             for value in batch.column("text"):
@@ -303,7 +299,7 @@ def encode_documents(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> Da
     sent = spark.sparkContext.broadcast(vocabulary)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        _encode(sent, model, n, len(vocabulary[2]) > 65536),
+        _encode(sent, n, len(vocabulary[2]) > 65536),
         f"doc_id {id_type}, n_pieces long, score double, ids binary, ids_sha256 string, nbest_scores array<double>, "
         "nbest_pieces array<long>, round_trip boolean",
     )

@@ -100,7 +100,7 @@ def beside(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -
 def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: Counter = Counter()
-        for text in batch.column("text").to_pylist():
+        for text in (v.as_py() for v in batch.column("text")):
             if text:
                 for term, kind, entity in beside(text, base_spans(text) + secret_spans(text)):
                     seen[term, kind, hashlib.blake2b(entity.encode(), digest_size=8).digest()] += 1
@@ -118,7 +118,8 @@ def _totals(terms: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            for text in batch.column("text").to_pylist():
+            for value in batch.column("text"):
+                text = value.as_py()
                 found = _TERM.findall(text.lower()) if text else []
                 seen.update(found if terms is None else filter(terms.__contains__, found))
                 seen[""] += len(found)
@@ -167,8 +168,8 @@ def _spans(levels: dict[str, tuple[str, float]]):
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in BASE_KINDS}
             shas, joined, cleaned = [], [], []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
+            for value in batch.column("text"):
+                text = value.as_py() or ""
                 base = base_spans(text)
                 more = secret_spans(text)
                 if levels:

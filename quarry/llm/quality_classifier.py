@@ -63,7 +63,7 @@ def features(text: str | None) -> list[float]:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = [features(t) for t in batch.column("text").to_pylist()]
+        x = [features(t.as_py()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("good"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "good", "x"]
         )
@@ -115,7 +115,7 @@ class Model:
 def _evidence(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column("text").to_pylist()], float).reshape(-1, N_FEATURES)
+            x = np.array([features(t.as_py()) for t in batch.column("text")], float).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("doc_id", "host", "path")] + [pa.array(model.log_odds(x), pa.float64())],
                 ["doc_id", "host", "path", "evidence"],

@@ -140,8 +140,8 @@ def _scores(weights: dict[str, float], bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                g = bias
+            for value in batch.column("text"):
+                g, text = bias, value.as_py()
                 if text:
                     found = set(_WORD.findall(text.lower()))
                     g += sum(words[f] for f in sorted(found & words.keys()))
