@@ -41,7 +41,7 @@ class Facts:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return lines(self.corpus)
+        return self._keep(lines(self.corpus))
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -49,7 +49,7 @@ class Facts:
 
     @cached_property
     def py_tokens(self) -> DataFrame:
-        return python_tokens(self.corpus)
+        return self._keep(python_tokens(self.corpus))
 
     @cached_property
     def java(self) -> DataFrame:
@@ -57,15 +57,15 @@ class Facts:
 
     @cached_property
     def java_tokens(self) -> DataFrame:
-        return java_tokens(self.corpus)
+        return self._keep(java_tokens(self.corpus))
 
     def of(self, language: str) -> DataFrame:
         return self.lines.filter(F.col("language") == language)
 
     def with_snippet(self, rows: DataFrame) -> DataFrame:
-        """The stripped source line of each finding, by an equi-join on file and line."""
+        """Findings without a snippet of their own (``own``) get their stripped source line, by an equi-join."""
         src = self.lines.select(*_FILE, F.col("line_no").alias("line"), F.col("raw"))
-        return rows.join(src, [*_FILE, "line"], "left").withColumn("code_snippet", F.coalesce(strip(F.col("raw")), F.lit(""))).drop("raw")
+        return rows.join(src, [*_FILE, "line"], "left").withColumn("code_snippet", F.coalesce("own", strip(F.col("raw")), F.lit(""))).drop("raw")
 
 
 @dataclass(frozen=True)
@@ -131,15 +131,15 @@ def run_rules(facts: Facts, codes: list[str] | None = None) -> DataFrame:
     parts = []
     for r in chosen:
         rows = r.find(facts)
-        if "code_snippet" not in rows.columns:
-            rows = facts.with_snippet(rows)
+        snippet = F.col("code_snippet") if "code_snippet" in rows.columns else F.lit(None).cast("string")
         parts.append(
             rows.select(
                 "scan_id", "rel_path", F.lit(r.code).alias("rule_code"), F.lit(r.category).alias("category"),
-                F.coalesce("own_severity", F.lit(r.severity)).alias("severity"), "line", "col", "end_line", "message", "code_snippet",
+                F.coalesce("own_severity", F.lit(r.severity)).alias("severity"), "line", "col", "end_line", "message", snippet.alias("own"),
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    # the source lines are joined once, to the findings of all rules
+    return facts.with_snippet(reduce(DataFrame.unionByName, parts)).drop("own")
 
 
 # ---- lines ----

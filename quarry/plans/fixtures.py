@@ -95,6 +95,7 @@ ENV = "# settings\npassword = hunter2\nAPI_KEY: ${KEY}\nadmin_token='secret'\nde
 
 FILES: list[tuple[int, str, str, str]] = [
     (1, "app/services/calc.py", "python", CALC),
+    (1, "app/services/user_service.py", "python", "def find(key):\n    return key\n"),
     (1, "app/api/Views-old.py", "python", TABS),
     (1, "src/main/java/com/shop/orders/account.java", "java", ACCOUNT),
     (1, "src/main/java/shop/data/Store.java", "java", STORE),

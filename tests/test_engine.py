@@ -177,7 +177,7 @@ def test_layers(spark):
 def test_whole_scan(spark, tmp_path):
     s = scan(fixtures.files(spark))
     t = {r.scan_id: r for r in s.totals.collect()}
-    assert set(t) == {1, 2} and 0 <= t[1].overall <= 100 and t[1].grade in "ABCD" and t[1].files == 5
+    assert set(t) == {1, 2} and 0 <= t[1].overall <= 100 and t[1].grade in "ABCD" and t[1].files == 6
     s.save(str(tmp_path / "out"))
     scan(fixtures.files(spark).filter("scan_id = 2")).save(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/files")).count() == len(fixtures.FILES)
@@ -190,7 +190,8 @@ def test_whole_scan(spark, tmp_path):
 
 def test_architecture_tables(spark):
     f = architecture_facts(fixtures.files(spark))
-    assert f["modules"].count() == 6 and f["symbols"].filter("name = 'Add' and parent = 'account'").count() == 1
+    assert f["modules"].count() == 7 and f["symbols"].filter("name = 'Add' and parent = 'account'").count() == 1
+    assert [(r.src, r.dst) for r in f["edges"].collect()] == [("app.services.calc", "app.services.user_service")]
     assert f["calls"].filter("callee = 'Total'").count() == 1
 
 
