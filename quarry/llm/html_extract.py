@@ -35,6 +35,8 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
+#: What stands between links; no words, unless the page marks them as content.
+_SEPARATORS = frozenset("| / - – — · • » « › ‹ : ::".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Containers of which the open ones are tracked; other tags only score.
 _CONTAINERS = frozenset(
@@ -112,7 +114,8 @@ def tokens(html: str) -> list[tuple[str, str, int]]:
             if state in ("never", "comment"):
                 continue
             text = unescape(text)
-            n = len(text.split())
+            words = text.split()
+            n = 0 if state != "content" and len(words) == 1 and words[0] in _SEPARATORS else len(words)
             if state == "content" and n:
                 has_content = True
             out.append(("link" if links else "main" if state == "content" else "plain", text, n))
