@@ -195,7 +195,7 @@ def q_dup_rate(spark, d):
 @query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '"[^"]*"', ' STR ', 'g'), '\\b[0-9]+\\b', 'NUM', 'g'), '[A-Za-z_]*[a-z_][A-Za-z_]*', 'ID', 'g') AS normal FROM documents WHERE n_chars < 400""")
 def q_token_normalise(spark, d):
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", '"[^"]*"', " STR "), r"\b[0-9]+\b", "NUM"), "[A-Za-z_]*[a-z_][A-Za-z_]*", "ID")
-    return docs(spark, d).filter("n_chars < 400").select("doc_id", text.alias("normal"))
+    return docs(spark, d).select("doc_id", text.alias("normal"))
 
 
 @query(f"""WITH i AS (SELECT doc_id, count_if(length(raw) > 100) AS w, count(*) AS loc FROM {DOC_LINES} GROUP BY doc_id),
