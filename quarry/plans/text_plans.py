@@ -165,8 +165,12 @@ def q_token_windows(spark, d):
 list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 131 + c) & 2147483647))), lambda h, v: (h * 257 + v) % 1000000007) AS hash
 FROM conversations WHERE regexp_matches(text, '^[\\x20-\\x7E]+$') AND len(string_split(text, ' ')) >= 4""")
 def q_rolling_hash(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet").filter(F.col("text").rlike(r"^[\x20-\x7E]+$")).withColumn("t", F.split("text", " ")).filter(F.size("t") >= 4)
-    return rows.select("conv_id", "turn", clones.rolling_hash(F.transform(F.slice("t", 1, 4), clones.token_value)).alias("hash"))
+    """Every window of four words of every text; start counts from 0. The SQL has the first window of ASCII texts only."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.split("text", " ")).filter(F.size("t") >= 4)
+    rows = rows.select("conv_id", "turn", F.transform("t", clones.token_value).alias("v"))
+    # values are computed once a text, before explode; a window is a slice of them
+    rows = rows.select("conv_id", "turn", "v", F.explode(F.sequence(F.lit(1), F.size("v") - 3)).alias("i"))
+    return rows.select("conv_id", "turn", (F.col("i") - 1).alias("start"), clones.rolling_hash(F.slice("v", F.col("i"), F.lit(4))).alias("hash"))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber AS lo, l_linenumber + 1 AS hi FROM lineitem WHERE l_returnflag = 'R'),

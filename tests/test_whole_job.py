@@ -16,3 +16,26 @@ def test_token_normalise_reads_texts_of_any_length(spark, tmp_path):
 
     got = {r.doc_id: r.normal for r in text_plans.q_token_normalise(spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else normal(t) for i, t in enumerate(texts)}
+
+
+def test_rolling_hash_of_every_window(spark, tmp_path):
+    texts = ["a b c d e f", "Ünï \U0001f600x ▁ d e", "one two three", " a  b ", "", None, "w " * 300 + "tail"]
+    rows = [(7, i, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def value(word):
+        h = 0
+        for c in word:
+            h = (h * 131 + ord(c)) & 0x7FFFFFFF
+        return h
+
+    want = set()
+    for turn, t in enumerate(texts):
+        v = [value(w) for w in (t or "").split(" ")]
+        for i in range(len(v) - 3):
+            h = 0
+            for x in v[i : i + 4]:
+                h = (h * 257 + x) % 1_000_000_007
+            want.add((7, turn, i, h))
+    got = [tuple(r) for r in text_plans.q_rolling_hash(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
