@@ -1,6 +1,7 @@
 """Licence scan: base phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line, or for templates of at least ``LONG`` tokens also a run of lines between blank ones. A block
+A block is a line, two adjacent lines (shorter notices wrap once), or for templates of at least ``LONG`` tokens also
+a run of lines between blank ones. A block
 meets a template when it holds at least ``threshold`` of the template's distinct tokens. The join finds every such
 pair: tokens are ordered by their frequency over all blocks (rarest first); with ``need`` the least overlap, a pair
 must share a token among the first ``|T| - need + 1`` of the template and the first ``|B| - need + 1`` of the block
@@ -97,7 +98,11 @@ def scanned(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 
     at = {p: places(p) for p in PHRASES}
     labels = F.array_compact(F.array(*[F.when(has[p], F.lit(label)) for p, label in PHRASES.items()]))
-    lines = F.transform(F.split("t", "\n"), lambda x: F.struct(F.lit(False).alias("long"), _in(x, vocab).alias("toks")))
+    rows = rows.withColumn("lines", F.transform(F.split("t", "\n"), lambda x: _in(x, vocab)))
+    # a pair of lines that adds nothing to one of them is left out
+    pairs = F.zip_with("lines", F.slice("lines", 2, F.size("lines")), F.array_union)
+    pairs = F.filter(pairs, lambda x, i: F.size(x) > F.greatest(F.size(F.get("lines", i)), F.size(F.get("lines", i + 1))))
+    lines = F.transform(F.concat("lines", pairs), lambda x: F.struct(F.lit(False).alias("long"), x.alias("toks")))
     runs = F.transform(
         F.filter(F.split("t", r"\n[ \n]*\n"), lambda x: x.contains("\n")),
         lambda x: F.struct(F.lit(True).alias("long"), _in(x, vocab).alias("toks")),

@@ -110,3 +110,14 @@ def test_pii_linear_on_long_runs():
 
 def test_pii_awkward(awkward, empty):
     assert pii.find_pii(awkward).count() == awkward.count() and pii.find_pii(empty).count() == 0
+
+
+def test_license_wrapped_notices(docs_of):
+    """Every notice, broken after every word, between lines of prose."""
+    cuts = [(label, w, k) for label, t in TEMPLATES for w in [t.split()] for k in range(1, len(w))]
+    docs = docs_of([(i, f"a b\n{' '.join(w[:k])},\n# {' '.join(w[k:])}.\nc d") for i, (_, w, k) in enumerate(cuts)])
+    got = {r.doc_id: r for r in license_scan(docs).collect()}
+    lost = [(label, k) for i, (label, _, k) in enumerate(cuts) if label not in got[i].labels.split(",") or got[i].score < 1]
+    assert not lost
+    apart = docs_of([(1, "licensed under the gnu lesser\n\ngeneral public license")])
+    assert license_scan(apart).first().labels == ""
