@@ -29,9 +29,9 @@ _FIELDS = [
     ("end_line", pa.int32()), ("funcs", pa.list_(pa.int32())), ("class_id", pa.int32()), ("level", pa.int32()),
     ("cyclomatic", pa.int32()), ("cognitive", pa.int32()), ("cog_depth", pa.int32()), ("nest_depth", pa.int32()),
     ("params", pa.list_(pa.string())), ("has_doc", pa.bool_()), ("decorators", pa.list_(pa.string())),
-    ("bases", pa.list_(pa.string())), ("value_kind", pa.string()), ("number", pa.float64()), ("skeleton", pa.string()),
+    ("bases", pa.list_(pa.string())), ("value_kind", pa.string()), ("number", pa.float64()), ("skeleton", pa.string()), ("dots", pa.int32()),
 ]
-_TYPES = {"node_id": "int", "parent_id": "int", "pos": "int", "line": "int", "col": "int", "end_line": "int", "class_id": "int", "level": "int", "cyclomatic": "int", "cognitive": "int", "cog_depth": "int", "nest_depth": "int", "funcs": "array<int>", "params": "array<string>", "decorators": "array<string>", "bases": "array<string>", "has_doc": "boolean", "number": "double"}
+_TYPES = {"node_id": "int", "parent_id": "int", "pos": "int", "line": "int", "col": "int", "end_line": "int", "class_id": "int", "level": "int", "cyclomatic": "int", "cognitive": "int", "cog_depth": "int", "nest_depth": "int", "funcs": "array<int>", "params": "array<string>", "decorators": "array<string>", "bases": "array<string>", "has_doc": "boolean", "number": "double", "dots": "int"}
 NODE_SCHEMA = "scan_id bigint, rel_path string, " + ", ".join(f"{n} {_TYPES.get(n, 'string')}" for n, _ in _FIELDS)
 TOKEN_SCHEMA = (
     "scan_id bigint, rel_path string, pos int, kind string, value string, line int, col int, end_line int, end_col int"
@@ -113,7 +113,7 @@ def nodes(text: str) -> list[dict]:
             row |= {"name": node.name, "qname": prefix + node.name, "has_doc": ast.get_docstring(node) is not None, "bases": [b for b in map(_dotted, node.bases) if b], "decorators": [_dotted(d) for d in node.decorator_list]}
             inner_class, inner_prefix = me, f"{prefix}{node.name}."
         elif isinstance(node, ast.ImportFrom):
-            row |= {"name": node.module or "", "params": [a.name for a in node.names], "bases": [a.asname or a.name for a in node.names]}
+            row |= {"name": node.module or "", "dots": node.level or 0, "params": [a.name for a in node.names], "bases": [a.asname or a.name for a in node.names]}
         elif isinstance(node, ast.Import):
             row |= {"params": [a.name for a in node.names], "bases": [a.asname or a.name.split(".")[0] for a in node.names]}
         elif isinstance(node, ast.Name):

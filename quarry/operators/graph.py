@@ -20,6 +20,19 @@ def dotted_id(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"\.[A-Za-z0-9]+$", ""), "/", "."), r"\.__init__$", "")
 
 
+def package_of(path: Column) -> Column:
+    """Segments of a Python file's package: its folder's dotted id."""
+    bare = F.regexp_replace(path, r"^.*src/(?:main|test)/java/", "")
+    return F.filter(F.split(F.regexp_replace(bare, r"/?[^/]*$", ""), r"[/.]"), lambda x: x != "")
+
+
+def relative_target(package: Column, dots: Column, name: Column) -> Column:
+    """Dotted id that a relative import names: one dot is the package, each further one a level up; null above the top."""
+    kept = F.size(package) - dots + 1
+    parts = F.concat(F.slice(package, F.lit(1), F.greatest(kept, F.lit(0))), F.filter(F.split(name, r"\."), lambda x: x != ""))
+    return F.when(kept >= 0, F.array_join(parts, "."))
+
+
 def merged_edges(raw: DataFrame) -> DataFrame:
     """Edges with the number of imports and whether one is a wildcard; self-loops go."""
     return raw.filter("src <> dst").groupBy("scan_id", "src", "dst", "kind").agg(

@@ -3,6 +3,8 @@
 import re
 
 from quarry.plans import text_plans
+from quarry.plans.scan import architecture_facts
+from quarry.sources.corpus import from_rows
 
 
 def test_token_normalise_reads_texts_of_any_length(spark, tmp_path):
@@ -39,3 +41,24 @@ def test_rolling_hash_of_every_window(spark, tmp_path):
             want.add((7, turn, i, h))
     got = [tuple(r) for r in text_plans.q_rolling_hash(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_relative_imports_go_to_their_own_package(spark):
+    sources = {
+        "pkg/__init__.py": "from .core import run\nfrom . import util\n",
+        "pkg/core.py": "from . import util\nfrom .missing import x\nfrom .util import *\n",
+        "pkg/util.py": "from ..util import x\nfrom ...far import y\n",
+        "pkg/sub/deep.py": "from .. import core, util as u\nfrom ..core import run\nfrom .util import z\n",
+        "other/long/util.py": "from . import missing\n",
+        "other/long/missing.py": "",
+        "util.py": "from .top import a\nimport pkg.core\n",
+        "top.py": "",
+    }
+    corpus = from_rows(spark, [(1, p, "python", t) for p, t in sources.items()])
+    got = {(r.src, r.dst): (r["count"], r.is_wildcard) for r in architecture_facts(corpus)["edges"].collect()}
+    assert got == {
+        ("pkg", "pkg.core"): (1, False), ("pkg", "pkg.util"): (1, False),
+        ("pkg.core", "pkg"): (1, False), ("pkg.core", "pkg.util"): (2, True), ("pkg.util", "util"): (1, False),
+        ("pkg.sub.deep", "pkg"): (1, False), ("pkg.sub.deep", "pkg.core"): (2, False), ("pkg.sub.deep", "pkg.util"): (1, False),
+        ("other.long.util", "other.long.missing"): (1, False), ("util", "top"): (1, False), ("util", "pkg.core"): (1, False),
+    }
