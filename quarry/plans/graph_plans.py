@@ -33,14 +33,17 @@ JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.
 NATION_EDGES = f"(SELECT 1 AS scan_id, a AS src, b AS dst, count(*) AS n FROM {RAW} r WHERE a <> b AND (a * 7 + b * 13) % 9 = 0 GROUP BY a, b)"
 
 
-def nation_edges(spark, d: str) -> DataFrame:
+def nation_edges(spark, d: str, whole: bool = False) -> DataFrame:
+    """Edges between nations; ``whole`` keeps all pairs, else those of the graph that is not complete."""
     def t(name):
         return spark.read.parquet(f"{d}/{name}.parquet")
 
     li = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     li = li.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     li = li.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    raw = li.filter("s_nationkey <> c_nationkey and (s_nationkey * 7 + c_nationkey * 13) % 9 = 0")
+    raw = li.filter("s_nationkey <> c_nationkey")
+    if not whole:
+        raw = raw.filter("(s_nationkey * 7 + c_nationkey * 13) % 9 = 0")
     raw = raw.select(F.lit(1).cast("bigint").alias("scan_id"), F.format_string("%02d", "s_nationkey").alias("src"), F.format_string("%02d", "c_nationkey").alias("dst"), F.lit("import").alias("kind"), F.lit(1).alias("count"), F.lit(False).alias("is_wildcard"))
     return graph.merged_edges(raw)
 
@@ -56,12 +59,12 @@ def modules_of(edges: DataFrame) -> DataFrame:
 
 @query(f"SELECT src, dst, n FROM {E2}")
 def q_dep_edges(spark, d):
-    return nation_edges(spark, d).select("src", "dst", F.col("count").alias("n"))
+    return nation_edges(spark, d, whole=True).select("src", "dst", F.col("count").alias("n"))
 
 
 @query(f"WITH e AS (SELECT * FROM {E2}), m AS (SELECT src AS x FROM e UNION SELECT dst FROM e) SELECT x AS module_id, (SELECT count(DISTINCT src) FROM e WHERE dst = x) AS fan_in, (SELECT count(DISTINCT dst) FROM e WHERE src = x) AS fan_out FROM m")
 def q_fan(spark, d):
-    e = nation_edges(spark, d)
+    e = nation_edges(spark, d, whole=True)
     return graph.fans(modules_of(e), e).select("module_id", "fan_in", "fan_out")
 
 
@@ -107,7 +110,7 @@ def q_topo_level(spark, d):
 
 @query(f"SELECT side, other, n FROM (SELECT 'in' AS side, src AS other, n, row_number() OVER (ORDER BY src) AS k FROM {E2} WHERE dst = '03' UNION ALL SELECT 'out', dst, n, row_number() OVER (ORDER BY dst) FROM {E2} WHERE src = '03') WHERE k <= 15")
 def q_neighbours(spark, d):
-    return graph.neighbours(nation_edges(spark, d), "03").select("side", "other", F.col("count").alias("n"))
+    return graph.neighbours(nation_edges(spark, d, whole=True), "03").select("side", "other", F.col("count").alias("n"))
 
 
 @query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS target FROM pages),
@@ -188,7 +191,7 @@ def q_layer_go(spark, d):
 @query(f"SELECT round(count_if(a.n_regionkey <> b.n_regionkey) / count(*), 6) AS ratio FROM {NATION_EDGES} e JOIN nation a ON a.n_nationkey = e.src JOIN nation b ON b.n_nationkey = e.dst")
 def q_cross_layer_ratio(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet").select(F.format_string("%02d", "n_nationkey").alias("k"), "n_regionkey")
-    e = nation_edges(spark, d)
+    e = nation_edges(spark, d, whole=True)
     e = e.join(n.toDF("src", "ra"), "src").join(n.toDF("dst", "rb"), "dst")
     return e.agg(F.round(F.count_if(F.col("ra") != F.col("rb")) / F.count(F.lit(1)), 6).alias("ratio"))
 

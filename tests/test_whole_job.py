@@ -2,7 +2,7 @@
 
 import re
 
-from quarry.plans import text_plans
+from quarry.plans import graph_plans, text_plans
 from quarry.plans.scan import architecture_facts
 from quarry.sources.corpus import from_rows
 
@@ -62,3 +62,25 @@ def test_relative_imports_go_to_their_own_package(spark):
         ("pkg.sub.deep", "pkg"): (1, False), ("pkg.sub.deep", "pkg.core"): (2, False), ("pkg.sub.deep", "pkg.util"): (1, False),
         ("other.long.util", "other.long.missing"): (1, False), ("util", "top"): (1, False), ("util", "pkg.core"): (1, False),
     }
+
+
+def test_nation_edges_of_all_pairs(spark, tmp_path):
+    pairs = [(0, 1), (0, 1), (1, 0), (1, 2), (2, 2), (3, 0), (0, 3), (4, 3)]
+    tables = {
+        "lineitem": ([(i, a) for i, (a, _) in enumerate(pairs)], "l_orderkey long, l_suppkey long"),
+        "orders": ([(i, b) for i, (_, b) in enumerate(pairs)], "o_orderkey long, o_custkey long"),
+        "customer": ([(k, k) for k in range(5)], "c_custkey long, c_nationkey int"),
+        "supplier": ([(k, k) for k in range(5)], "s_suppkey long, s_nationkey int"),
+        "nation": ([(k, k // 2) for k in range(5)], "n_nationkey int, n_regionkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    d = str(tmp_path)
+    edges = {(f"{a:02}", f"{b:02}"): pairs.count((a, b)) for a, b in pairs if a != b}
+    assert {(r.src, r.dst): r.n for r in graph_plans.q_dep_edges(spark, d).collect()} == edges
+    fans = {(m, sum(y == m for _, y in edges), sum(x == m for x, _ in edges)) for e in edges for m in e}
+    assert {tuple(r) for r in graph_plans.q_fan(spark, d).collect()} == fans
+    near = {("in", x, n) for (x, y), n in edges.items() if y == "03"} | {("out", y, n) for (x, y), n in edges.items() if x == "03"}
+    assert {tuple(r) for r in graph_plans.q_neighbours(spark, d).collect()} == near
+    crossed = sum(int(x) // 2 != int(y) // 2 for x, y in edges) / len(edges)
+    assert graph_plans.q_cross_layer_ratio(spark, d).first().ratio == round(crossed, 6)
