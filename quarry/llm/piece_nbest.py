@@ -12,11 +12,12 @@ The model's file is read on the driver; the tasks get its vocabulary, whose size
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from array import array
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Chunks, and piece ids of chunks, that a task remembers before it starts anew.
 CACHE, CACHED_IDS = 300_000, 4_000_000
+#: Piece ids of the N best ways of chunks that a task remembers.
+WAYS_IDS = 1_000_000
 _CHUNK = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
 Vocabulary = dict[str, tuple[int, float]]
@@ -65,9 +68,41 @@ class _Known(dict):
         return n
 
 
+class Lattice(NamedTuple):
+    """The forward pass over a chunk: the best score up to each node, its pieces, and the piece it comes by (-1: bytes).
+
+    ``second`` has the score by each node's second-best edge, ``ties`` how many pieces more that edge makes where it is as
+    good as the best.
+    """
+
+    score: list[float]
+    count: list[int]
+    piece: list[int]
+    second: list[float]
+    ties: dict[int, int]
+
+
+_NONE = -1e300
+#: A way: minus its score, its pieces, its forks from the best way as a key that sorts, and the forks themselves.
+Way = tuple[float, int, tuple, tuple]
+_END = ((1, 0, 0),)
+
+
+def fork_key(j: int, i: int, best: int) -> tuple[int, int, int]:
+    """Place of a way that forks at node ``j`` to node ``i``, seen from the end; the way that goes on is ``_END``.
+
+    Ways are compared at the first edge from the end in which they differ, and the longer piece comes first. So a fork
+    to a longer piece comes before the way without it, the sooner the nearer the end; one to a shorter piece after it.
+    """
+    return (0, -j, i) if i < best else (2, j, i)
+
+
 class Segmenter:
     """Segmentations of texts under one vocabulary. Scores add up; a character without a piece costs ``unknown``.
 
+    One order holds everywhere, for the best and for the N best: the greater score comes first, of equals that of fewer
+    pieces, then that whose piece is longer where the two first differ, read from the end.
+
     What is known of chunks lies in arrays, so that a text's result is gathered from them by its chunks' numbers.
     """
 
@@ -76,178 +111,260 @@ class Segmenter:
         self.longest = max(map(len, pieces))
         # pieces of spaces alone have scores of minus a thousand million: no measure for a lost character
         self.unknown = min((s for _, s in pieces.values() if s > -1e8), default=0.0) - 10
-        self.trie: list = [None, {}]
-        for piece, value in pieces.items():
-            node = self.trie
-            for c in piece:
-                node = node[1].setdefault(c, [None, {}])
-            node[0] = value
+        #: Characters that are pieces, and the characters of each piece (the last, for -1: of a character by its bytes).
+        self.single = {x for x in pieces if len(x) == 1}
+        self.length = [0] * len(text) + [1]
+        for piece, (i, _) in pieces.items():
+            self.length[i] = len(piece)
+        # a trie's node: piece id, score (None: no piece ends here), and how to find its children
+        children: dict[str, dict] = {"": {}}
+        for piece in pieces:
+            for k in range(1, len(piece) + 1):
+                children.setdefault(piece[:k], {})
+        for prefix in sorted(children, key=len, reverse=True)[:-1]:
+            i, score = pieces.get(prefix, (-1, None))
+            children[prefix[:-1]][prefix[-1]] = (i, score, children.pop(prefix).get)
+        self.trie = children[""].get
         self.forget()
 
     def forget(self) -> None:
         self.known = _Known(self._add)
         self.ways: dict[tuple[str, int], list] = {}
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.score, self.lost = np.zeros(1 << 12), np.zeros(1 << 12)
-        self.same = np.zeros(1 << 12, bool)
-        self.ids, self.n, self.n_ids = np.zeros(1 << 14, np.int32), 0, 0
+        self.ways_ids = 0
+        # of each chunk: where its ids start, how many they are, score, loss of the second way, whether it decodes
+        self.start, self.size, self.ids = array("q"), array("q"), array("i")
+        self.score, self.lost, self.same = array("d"), array("d"), array("b")
+        self.ties: dict[int, tuple[int, bool]] = {}
+        self.last: tuple[str, Lattice | None] = ("", None)
 
     def _add(self, chunk: str) -> int:
         ids, score, lost = self.solve(chunk)
-        n, k = self.n, len(ids)
-        if n == len(self.start):
-            for name in ("start", "size", "score", "lost", "same"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        while self.n_ids + k > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.start[n], self.size[n], self.score[n], self.lost[n] = self.n_ids, k, score, lost
-        self.same[n] = b"".join([self.text[i] for i in ids]) == chunk.encode("utf-8", "surrogatepass")
-        self.ids[self.n_ids : self.n_ids + k] = ids
-        self.n, self.n_ids = n + 1, self.n_ids + k
+        n, text = len(self.start), self.text
+        self.start.append(len(self.ids))
+        self.size.append(len(ids))
+        self.score.append(score)
+        self.lost.append(lost)
+        self.same.append(b"".join([text[i] for i in ids]) == chunk.encode("utf-8", "surrogatepass"))
+        self.ids.extend(ids)
         return n
 
-    def edges(self, chunk: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end the (start, ids, score) of the pieces that end there, the longest first."""
-        get, n = self.pieces.get, len(chunk)
-        out: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
-        for j in range(1, n + 1):
-            here = out[j]
-            for i in range(max(0, j - self.longest), j):
-                p = get(chunk[i:j])
-                if p is not None:
-                    here.append((i, (p[0],), p[1]))
-            if not here or here[-1][0] != j - 1:
-                raw = chunk[j - 1].encode("utf-8", "surrogatepass")
-                here.append((j - 1, tuple(self.by_byte[b] for b in raw), self.unknown))
+    def edges(self, chunk: str, j: int) -> list[tuple[int, int, int, float]]:
+        """(start, piece id or -1 for bytes, pieces, score) of the edges that end at node ``j``, the longest first."""
+        get, out = self.pieces.get, []
+        for i in range(max(0, j - self.longest), j):
+            p = get(chunk[i:j])
+            if p is not None:
+                out.append((i, p[0], 1, p[1]))
+        if not out or out[-1][0] != j - 1:
+            out.append((j - 1, -1, len(chunk[j - 1].encode("utf-8", "surrogatepass")), self.unknown))
         return out
 
-    @staticmethod
-    def forward(edges: list) -> tuple[list[float], list[int]]:
-        """Viterbi: the best score up to each node, and the edge it comes by (of equals the longest piece)."""
-        best, by = [0.0] * len(edges), [0] * len(edges)
-        for j in range(1, len(edges)):
-            top = -1e300
-            for k, (i, _, s) in enumerate(edges[j]):
-                if best[i] + s > top:
-                    top, by[j] = best[i] + s, k
-            best[j] = top
-        return best, by
-
-    def solve(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
-        """Ids and score of the best segmentation, and what the second best loses (infinite if there is none).
-
-        Seen from the end, the second best leaves the best path at one of its nodes and goes on by the best way to
-        the start; so it loses the least difference between the two best scores at a node of the best path.
-        """
-        n, root, unknown = len(chunk), self.trie, self.unknown
-        best, second = [-1e300] * (n + 1), [-1e300] * (n + 1)
-        by: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        best[0] = 0.0
+    def forward(self, chunk: str) -> Lattice:
+        """Viterbi: edges leave each node in turn, so those into a node come by rising start, the longest piece first."""
+        n, longest, trie, ties = len(chunk), self.longest, self.trie, {}
+        score, count, piece, second = [_NONE] * (n + 1), [0] * (n + 1), [-1] * (n + 1), [_NONE] * (n + 1)
+        score[0] = 0.0
+        whole = self.single.issuperset(chunk)
         for i in range(n):
-            here, node, j = best[i], root, i
-            while j < n:
-                node = node[1].get(chunk[j])
+            here, step, get, j = score[i], count[i] + 1, trie, i
+            for c in chunk[i : i + longest]:
+                node = get(c)
                 if node is None:
                     break
                 j += 1
-                p = node[0]
-                if p is not None:
-                    v = here + p[1]
-                    if v > best[j]:
-                        second[j], best[j], by[j] = best[j], v, (i, p[0])
-                    elif v > second[j]:
+                p, s, get = node
+                if s is not None:
+                    v, old = here + s, score[j]
+                    if v > old:
+                        second[j] = old
+                        score[j] = v
+                        count[j] = step
+                        piece[j] = p
+                    elif v >= second[j]:
+                        if v == old:
+                            self._tied(ties, second[j] == old, count, piece, j, p, step)
                         second[j] = v
-            p = root[1].get(chunk[i])
-            if p is None or p[0] is None:
-                v, j = here + unknown, i + 1
-                if v > best[j]:
-                    second[j], best[j], by[j] = best[j], v, (i, -1)
-                elif v > second[j]:
+            if not whole and chunk[i] not in self.single:
+                v, j, step = here + self.unknown, i + 1, step - 1 + len(chunk[i].encode("utf-8", "surrogatepass"))
+                if v > score[j]:
+                    second[j], score[j], count[j], piece[j] = score[j], v, step, -1
+                elif v >= second[j]:
+                    if v == score[j]:
+                        self._tied(ties, second[j] == v, count, piece, j, -1, step)
                     second[j] = v
+        return Lattice(score, count, piece, second, ties)
+
+    @staticmethod
+    def _tied(ties: dict[int, int], again: bool, count: list[int], piece: list[int], j: int, p: int, pieces: int) -> None:
+        """Takes in an edge into node ``j`` that is as good as the best so far; ``again``: as others were already."""
+        more = pieces - count[j]
+        ties[j] = min(abs(more), ties[j] - min(0, more)) if again else abs(more)
+        if more < 0:
+            count[j], piece[j] = pieces, p
+
+    def _walk(self, chunk: str, piece: list[int], forks: tuple) -> list[int]:
+        """Ids along a way: back pointers from the end, but for its forks (node, start, piece)."""
         ids: list[int] = []
-        lost, j = float("inf"), n
+        j, at, length = len(chunk), {f[0]: f[2] for f in forks}, self.length
         while j:
-            if best[j] - second[j] < lost:
-                lost = best[j] - second[j]
-            i, piece = by[j]
-            if piece >= 0:
-                ids.append(piece)
+            p = at.get(j, piece[j]) if at else piece[j]
+            if p >= 0:
+                ids.append(p)
             else:
-                ids += [self.by_byte[x] for x in reversed(chunk[i].encode("utf-8", "surrogatepass"))]
-            j = i
+                ids += [self.by_byte[x] for x in reversed(chunk[j - 1].encode("utf-8", "surrogatepass"))]
+            j -= length[p]
         ids.reverse()
-        return tuple(ids), best[n], lost if lost < 1e200 else float("inf")
+        return ids
 
-    def chunk_nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best (score, ids): backward A-star, with the forward scores as exact heuristic.
+    def solve(self, chunk: str) -> tuple[list[int], float, float]:
+        """Ids and score of the best way, and what the second best loses (infinite if there is none).
 
-        Of equal scores fewer pieces come first, then smaller ids.
+        Seen from the end, the second best leaves the best way at one of its nodes and goes on by the best way from there.
         """
-        edges = self.edges(chunk)
-        best, _ = self.forward(edges)
-        heap: list[tuple[float, int, tuple[int, ...], int, float]] = [(-best[-1], 0, (), len(chunk), 0.0)]
-        out = []
-        while heap and len(out) < n:
-            _, size, ids, j, after = heapq.heappop(heap)
-            if j == 0:
-                out.append((after, ids))
-                continue
-            for i, piece, s in edges[j]:
-                heapq.heappush(heap, (-(best[i] + s + after), size + 1, piece + ids, i, after + s))
-        return out
+        lattice = self.forward(chunk)
+        self.last = (chunk, lattice) if len(chunk) > 1000 else ("", None)
+        score, piece, second, length = lattice.score, lattice.piece, lattice.second, self.length
+        lost, j = -_NONE, len(chunk)
+        while j:
+            if score[j] - second[j] < lost:
+                lost = score[j] - second[j]
+            j -= length[piece[j]]
+        return self._walk(chunk, piece, ()), score[-1], lost if lost < 1e200 else float("inf")
+
+    def _forks(self, chunk: str, lattice: Lattice, j: int) -> list[tuple[float, int, int, int]]:
+        """(loss, further pieces, start, piece) of the edges into node ``j`` other than the best, the least first."""
+        score, count, best = lattice.score, lattice.count, lattice.piece[j]
+        return sorted(
+            (score[j] - (score[i] + s), count[i] + n - count[j], i, p) for i, p, n, s in self.edges(chunk, j) if p != best
+        )
+
+    def chunk_ways(self, chunk: str, n: int) -> list[tuple[float, list[int], tuple]]:
+        """The ``n`` best as (score, ids, key that places them by their pieces): backward A-star, with the forward scores as exact heuristic.
+
+        A partial way from the end stands for the best whole way that it can become, and its key is that way's. As the
+        heuristic is exact, what is popped next is the popped way's own extension along the back pointers until it is
+        whole, so that walk is one loop, in which every other edge becomes a new entry. An entry is its forks, not its
+        edges. Different entries become different ways, so that only the best ``n`` less those found are held:
+        ``n`` walks and ``n`` entries, whatever the length and the ties.
+        """
+        lattice = self.last[1] if self.last[0] == chunk and self.last[1] else self.forward(chunk)
+        score, piece, second, ties, length = lattice.score, lattice.piece, lattice.second, lattice.ties, self.length
+        known: dict[int, list] = {}
+        front: list[Way] = [(-score[-1], lattice.count[-1], _END, ())]
+        out: list[Way] = []
+        while front and len(out) < n:
+            way = front.pop(0)
+            out.append(way)
+            room = n - len(out)
+            if not room:
+                break
+            cost, count, key, forks = way
+            j = forks[-1][1] if forks else len(chunk)
+            # what a fork must beat: the last of the entries, once there are enough of them
+            most = front[-1][0] if len(front) == room else -_NONE
+            while j:
+                loss, i = score[j] - second[j], j - length[piece[j]]
+                if cost + loss < most or cost + loss == most and (loss or count + ties[j] <= front[-1][1]):
+                    if j not in known:
+                        known[j] = self._forks(chunk, lattice, j)
+                    for loss, more, at, p in known[j]:
+                        entry = (cost + loss, count + more, key[:-1] + (fork_key(j, at, i),) + _END, (*forks, (j, at, p)))
+                        if len(front) == room:
+                            if entry > front[-1]:
+                                break
+                            del front[-1]
+                        insort(front, entry)
+                    most = front[-1][0] if len(front) == room else -_NONE
+                j = i
+        return [(-cost, self._walk(chunk, piece, forks), key) for cost, _, key, forks in out]
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         """A text's chunks, with the space that the model puts in front."""
         return _CHUNK.findall(" " + text) if text else []
 
-    def _ways(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def _ways(self, chunk: str, n: int) -> list[tuple[float, list[int], tuple]]:
         found = self.ways.get((chunk, n))
         if found is None:
-            if len(self.ways) > 50_000:
+            found = self.chunk_ways(chunk, n)
+            self.ways_ids += sum(len(w[1]) for w in found)
+            if self.ways_ids > WAYS_IDS:
                 self.ways.clear()
-            found = self.ways[chunk, n] = self.chunk_nbest(chunk, n)
+                self.ways_ids = sum(len(w[1]) for w in found)
+            self.ways[chunk, n] = found
         return found
 
-    def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, float, list[tuple[float, int, dict[int, tuple[int, ...]]]], bool]:
-        """Ids and score of the best segmentation; the ``n`` best as (score, pieces, what replaces which chunk); and
-        whether the ids decode to the text: decoding joins what the ids stand for, so each chunk is tried once."""
-        if self.n > CACHE or self.n_ids > CACHED_IDS:
+    def _tie(self, chunk: str, n: int) -> tuple[int, bool]:
+        """How many pieces a chunk's second way has more, and whether its pieces alone would put it before the best."""
+        if n not in self.ties:
+            best, second = self._ways(chunk, 2)
+            self.ties[n] = (len(second[1]) - len(best[1]), second[2] < best[2])
+        return self.ties[n]
+
+    def _open(self, chunks: list[str], at: np.ndarray, n: int) -> list[int]:
+        """The ``n - 1`` chunks whose second way makes the best second ways of the text, in the order of the text."""
+        lost = np.frombuffer(self.lost)[at]
+        few = np.arange(len(lost))
+        if len(lost) >= n:
+            few = np.flatnonzero(lost <= np.partition(lost, n - 2)[n - 2])
+        few = few[lost[few] < np.inf].tolist()
+        if len(few) >= n:
+
+            def place(k: int) -> tuple:
+                more, late = self._tie(chunks[k], int(at[k]))
+                return float(lost[k]), more, not late, -k if late else k
+
+            few = sorted(few, key=place)[: n - 1]
+        return sorted(few)
+
+    def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, list[tuple[float, np.ndarray]], bool]:
+        """Ids of the best segmentation; the ``n`` best as (score, ids), the best first; and whether the ids decode
+        to the text: decoding joins what the ids stand for, so each chunk is tried once."""
+        if len(self.start) > CACHE or len(self.ids) > CACHED_IDS:
             self.forget()
         chunks = self.chunks(text)
         if not chunks:
-            return np.zeros(0, np.int32), 0.0, [(0.0, 0, {})], True
+            none = np.zeros(0, np.int32)
+            return none, [(0.0, none)], True
         at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        size, lost = self.size[at], self.lost[at]
+        # the views must be gone before the arrays grow again
+        size, start = (np.frombuffer(x, np.int64)[at] for x in (self.size, self.start))
         ends = np.cumsum(size)
         total = int(ends[-1])
-        ids = self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(total)]
-        score = float(self.score[at].sum())
-        same = bool(self.same[at].all()) and "".join(chunks) == " " + text
+        ids = np.frombuffer(self.ids, np.int32)[np.repeat(start - ends + size, size) + np.arange(total)]
+        score = float(np.frombuffer(self.score)[at].sum())
+        same = bool(np.frombuffer(self.same, np.int8)[at].all()) and "".join(chunks) == " " + text
         if n <= 1:
-            return ids, score, [(score, total, {})], same
-        few = np.argpartition(lost, n - 2)[: n - 1] if len(lost) > n - 1 else np.arange(len(lost))
-        open_ = [int(k) for k in few if lost[k] < float("inf")]
-        open_.sort(key=lambda k: (lost[k], k))
-        # chunk by chunk, only the n best of what went before can go on
-        ways: list[tuple[float, int, tuple]] = [(-score, total, ())]
+            self.last = ("", None)
+            return ids, [(score, ids)], same
+        open_ = self._open(chunks, at, n)
+        # chunk by chunk, only the n best of what went before can go on; a chunk's ways come in their order, so of equal
+        # scores and sizes the numbers of the ways, the last chunk's first, are the order
+        ways: list[tuple[float, int, tuple[int, ...]]] = [(-score, total, ())]
+        of = {k: self._ways(chunks[k], n) for k in open_}
+        order = {k: sorted(range(len(of[k])), key=lambda w, k=k: of[k][w][2]) for k in open_}
         for k in open_:
-            base, length = float(self.score[at[k]]), int(size[k])
+            base, length = self.score[int(at[k])], int(size[k])
             ways = sorted(
-                (t - s + base, z + len(piece) - length, (*way, piece))
+                (t - of[k][w][0] + base, z + len(of[k][w][1]) - length, (place, *way))
                 for t, z, way in ways
-                for s, piece in self._ways(chunks[k], n)
+                for place, w in enumerate(order[k])
             )[:n]
-        return ids, score, [(-t, z, dict(zip(open_, way, strict=True))) for t, z, way in ways], same
+        self.last = ("", None)
+        out = [(score, ids)]
+        for t, _, way in ways[1:]:
+            parts, end = [], 0
+            for k, place in zip(open_, reversed(way), strict=True):
+                w = order[k][place]
+                if w:
+                    parts += [ids[end : int(ends[k] - size[k])], np.array(of[k][w][1], np.int32)]
+                    end = int(ends[k])
+            out.append((-t, np.concatenate([*parts, ids[end:]])))
+        return ids, out, same
 
     def nbest(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of a text as (score, ids)."""
-        chunks, out = self.chunks(text), []
-        for score, _, other in self.encode(text, n)[2]:
-            parts = [other[k] if k in other else self.solve(c)[0] for k, c in enumerate(chunks)]
-            out.append((score, list(chain.from_iterable(parts))))
-        return out
+        return [(score, ids.tolist()) for score, ids in self.encode(text, n)[1]]
 
     def decode(self, ids: list[int]) -> str:
         """The text that was encoded, exactly."""
@@ -261,14 +378,15 @@ def _encode(vocabulary, n: int, wide: bool):
         # one per task: a worker serves other operators too, and must not hold this one's memory meanwhile
         seg = Segmenter(*vocabulary.value)
         for batch in batches:
-            sizes, scores, ids, shas, n_scores, n_sizes, same = [], [], [], [], [], [], []
+            sizes, scores, ids, shas, n_scores, n_sizes, n_ids, same = [], [], [], [], [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                row, score, ways, whole = seg.encode(text, n)
+                row, ways, whole = seg.encode(text, n)
                 raw = row.astype(dtype).tobytes()
-                sizes.append(len(row)), scores.append(score), ids.append(raw)
+                sizes.append(len(row)), scores.append(ways[0][0]), ids.append(raw)
                 shas.append(hashlib.sha256(raw).hexdigest())
-                n_scores.append([w[0] for w in ways]), n_sizes.append([w[1] for w in ways])
+                n_scores.append([w[0] for w in ways]), n_sizes.append([len(w[1]) for w in ways])
+                n_ids.append([raw, *(w[1].astype(dtype).tobytes() for w in ways[1:])])
                 same.append(whole)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -279,20 +397,23 @@ def _encode(vocabulary, n: int, wide: bool):
                     pa.array(shas, pa.string()),
                     pa.array(n_scores, pa.list_(pa.float64())),
                     pa.array(n_sizes, pa.list_(pa.int64())),
+                    pa.array(n_ids, pa.list_(pa.binary())),
                     pa.array(same, pa.bool_()),
                 ],
-                ["doc_id", "n_pieces", "score", "ids", "ids_sha256", "nbest_scores", "nbest_pieces", "round_trip"],
+                ["doc_id", "n_pieces", "score", "ids", "ids_sha256", "nbest_scores", "nbest_pieces", "nbest_ids", "round_trip"],
             )
 
     return run
 
 
 def encode_documents(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
-    """Per row: the best segmentation (ids as little-endian numbers of 2 or 4 bytes), its size, score and digest, scores
-    and sizes of the ``n`` best, and whether the ids decode to the text exactly.
+    """Per row: the best segmentation (ids as little-endian numbers of 2 or 4 bytes), its size, score and digest, scores,
+    sizes and ids of the ``n`` best (the first of them is the best), and whether the ids decode to the text exactly.
 
     Defined cases: a null or empty text has no pieces and one segmentation of score 0; characters without a piece become
-    byte pieces; rows repeated are encoded each; an empty table gives an empty result; other columns are ignored.
+    byte pieces; ties follow the one order of ``Segmenter``; a very long text costs time in proportion to its length and,
+    beyond its own ids, memory in proportion to its longest run without spaces (about 200 bytes a character); rows
+    repeated are encoded each; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     vocabulary = load(model)
@@ -301,12 +422,16 @@ def encode_documents(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> Da
     return docs.select("doc_id", "text").mapInArrow(
         _encode(sent, n, len(vocabulary[2]) > 65536),
         f"doc_id {id_type}, n_pieces long, score double, ids binary, ids_sha256 string, nbest_scores array<double>, "
-        "nbest_pieces array<long>, round_trip boolean",
+        "nbest_pieces array<long>, nbest_ids array<binary>, round_trip boolean",
     )
 
 
 def decode_documents(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """``doc_id, text`` of the rows of ``encode_documents``."""
+    """``doc_id, text`` of the rows of ``encode_documents``.
+
+    Defined cases: null ids give the empty text; repeated rows are decoded each; an empty table gives an empty result;
+    long rows cost memory in proportion to their text; other columns, of any name, are ignored.
+    """
     vocabulary = load(model)
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
     dtype = "<u4" if len(vocabulary[2]) > 65536 else "<u2"

@@ -106,23 +106,54 @@ def test_mix_awkward(awkward, empty):
 
 
 def paths(seg, chunk):
-    edges = seg.edges(chunk)
+    """All segmentations in the documented order, each as (score, ids)."""
 
     def up_to(j):
-        return [(0.0, ())] if j == 0 else [(a + s, p + ids) for i, ids, s in edges[j] for a, p in up_to(i)]
-
-    return sorted(((a, p) for a, p in up_to(len(chunk))), key=lambda x: (-x[0], len(x[1]), x[1]))
-
-
-@pytest.mark.parametrize("text", ["there", "of ingthe", "nan an nan", "éa 日", "a\nb", ""])
-def test_nbest_is_that_of_all_paths(text):
-    seg = Segmenter(*load())
-    got = seg.nbest(text, 5)
-    assert all(seg.decode(ids) == text for _, ids in got)
-    if text and "\n" not in text:
-        want = paths(seg, " " + text)[:5]
-        assert [s for s, _ in got] == [s for s, _ in want]
-        assert got[0][1] == list(want[0][1]) or got[0][0] == got[1][0]
+        if j == 0:
+            return [(0.0, (), ())]
+        out = []
+        for i, p, _, s in seg.edges(chunk, j):
+            ids = (p,) if p >= 0 else tuple(seg.by_byte[b] for b in chunk[i].encode())
+            out += [(a + s, q + ids, (i, *starts)) for a, q, starts in up_to(i)]
+        return out
+
+    # ties: fewer pieces, then from the end the longer piece, that is the smaller start
+    return [(a, list(p)) for a, p, _ in sorted(up_to(len(chunk)), key=lambda x: (-x[0], len(x[1]), x[2]))]
+
+
+def test_nbest_is_that_of_all_paths():
+    """Random texts of few letters, so that ties and repeated chunks abound; all of the N best, in order, with ids."""
+    rng, seg = np.random.default_rng(5), Segmenter(*load())
+    texts = ["there", "of ingthe", "nan an nan", "éa 日", "aaaa", "aaaaaaaa", "", *("".join(rng.choice([*"ab aan =日e"], rng.integers(1, 11))) for _ in range(150))]
+    for text in texts:
+        n = int(rng.integers(1, 7))
+        got = seg.nbest(text, n)
+        assert all(seg.decode(ids) == text for _, ids in got)
+        assert got == (paths(seg, " " + text)[:n] if text else [(0.0, [])])
+        assert seg.encode(text, n)[0].tolist() == got[0][1]
+
+
+_LONG_RUN = """
+import resource, sys, time
+from quarry.llm.piece_nbest import Segmenter, load
+text = {"letters": "abcdefghij" * 100_000, "base64": "".join(chr(48 + i * i * 7919 % 75) for i in range(1_000_000))}[sys.argv[1]]
+seg = Segmenter(*load())
+begun = time.process_time()
+ids, ways, same = seg.encode(text, 4)
+assert same and len(ways) == 4 and seg.decode(ids.tolist()) == text
+assert [w[0] for w in ways] == sorted((w[0] for w in ways), reverse=True) and len({w[1].tobytes() for w in ways}) == 4
+print(time.process_time() - begun, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+
+
+@pytest.mark.parametrize("kind", ["letters", "base64"])
+def test_nbest_of_a_million_characters_without_a_space(kind):
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", _LONG_RUN, kind], capture_output=True, text=True, check=True, timeout=120)
+    seconds, megabytes = map(float, done.stdout.split())
+    assert seconds < 15 and megabytes < 500
 
 
 def test_piece_round_trip(awkward, empty):
@@ -132,6 +163,10 @@ def test_piece_round_trip(awkward, empty):
     assert back[9] == awkward.filter("doc_id = 9").first().text and back[1] == ""
     r = rows.filter("doc_id = 8").first()
     assert r.nbest_scores == sorted(r.nbest_scores, reverse=True) and r.nbest_scores[0] == r.score
+    assert r.nbest_ids[0] == r.ids and [len(x) // 2 for x in r.nbest_ids] == r.nbest_pieces
+    assert len({bytes(x) for x in r.nbest_ids}) == 4
+    one = rows.filter("doc_id = 1").first()
+    assert (one.n_pieces, one.nbest_scores, one.nbest_pieces, one.nbest_ids) == (0, [0.0], [0], [b""])
 
 
 PAGES = [
