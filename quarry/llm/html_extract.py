@@ -1,9 +1,11 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page becomes a row of tokens: words and tags. Words score positive (less as link text, or outside the article where
-the page marks one), tags negative, with log-odds learned from the labelled pages below. One linear scan finds the
-contiguous run of greatest sum: the content region. Blocks that a page marks as menus, adverts, forms, comments
-and the like count as one negative token each and yield no text, inside the region too.
+A page becomes a row of tokens: tags, and segments of text between the borders of blocks. The words of a segment score by
+the log-odds of being content, given the elements, roles and class names around them, the share of links and the form of
+the text; a tag scores the log of its share within content, which is never above zero. All of these weights are learned from
+labelled pages (``labelled_pages``); no name or tag decides alone. A segment whose words score below zero counts once, as a tag does, and yields no text. One linear
+scan finds the contiguous run of tokens of greatest sum, the content region, and the words in it that score above zero are
+the main text.
 """
 
 from __future__ import annotations
@@ -11,192 +13,302 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from html import unescape
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements whose content is no text of the page, and those that are never content.
-_RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|select|title|xmp"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[/!?][^>]*>"
-    r"|<[a-zA-Z][^>]*>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_WORDS = re.compile(r"[a-z0-9]+")
+from quarry.llm.labelled_pages import MARK, pages
+
+#: Labelled pages to learn from, and their seed.
+LABELLED, SEED = 1000, 7
+#: Elements whose content is no text of the page.
+_RAW = frozenset("script style noscript template textarea iframe svg canvas select title xmp".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_TAG_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
+_WORDS = re.compile(r"[a-z]+")
+#: Elements that don't end a word or a block.
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-#: What stands between links; no words, unless the page marks them as content.
-_SEPARATORS = frozenset("| / - – — · • » « › ‹ : ::".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Containers of which the open ones are tracked; other tags only score.
-_CONTAINERS = frozenset(
-    "html head body nav header footer aside main article section div form ul ol dl table menu dialog figure "
-    "details fieldset button label p span a li td blockquote center".split()
-)
-_NEVER = frozenset("head nav aside footer form menu dialog button fieldset label".split())
-_CONTENT = frozenset("article main".split())
-_NEVER_ROLES = frozenset(
-    "navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split()
-)
-#: Parts of class and id names that mark a block as no content, and those that mark it as content.
-_NEVER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion nav navbar "
-    "navigation menu submenu sidebar sidebars breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice "
-    "notices popup modal overlay newsletter subscribe subscription signup login share sharing social related "
-    "recommended recommendations comment comments commentlist disqus respond reply replies pagination pager "
-    "widget widgets toolbar topbar banner skip hidden alert outbrain taboola trending".split()
-)
-_CONTENT_NAMES = frozenset("article articlebody content post entry story main maincontent body text".split())
-_COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies related recommended ad ads advert".split())
-
+#: Inline elements that are tracked while open, as they can be links or have names.
+_NAMED = frozenset("a span".split())
+_CELLS = frozenset("li td th dt dd tr".split())
+_HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden")
 
-def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
 
+def markup(html: str) -> Iterator[tuple[str, str, str]]:
+    """("text", "", text), ("open", tag, attributes) and ("close", tag, "") in page order, in time linear in its length.
 
-@cache
-def _kind(tag: str, raw: str) -> str:
-    """What an open tag makes of its content: "never", "content", "named" (content by its name only), "comment" (never, whatever
-    is inside), "header" or "".
-
-    Cached by the tag's text; a page set uses few different ones, and long ones don't come here.
+    A quote opens an attribute's value only after "="; a value that is never closed ends with the tag's first ">". Where
+    no ">" follows a tag's start, the page ends there, as it does where a comment or a script is never closed.
     """
-    if tag in ("html", "body"):
-        return ""
-    attrs = _attributes(raw) if raw else {}
-    classes = [_WORDS.findall(c) for c in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()]
-    # "has-sidebar" and the like speak of the page's layout
-    classes = [c for c in classes if c and not {"has", "with", "without", "no", "layout"} & set(c)]
-    names = {x for c in classes for x in c}
-    role = attrs.get("role", "").lower()
-    bare = f" {_ATTRIBUTE.sub(' ', raw).lower()} "
-    if " hidden " in bare or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return "comment"
-    if tag in _NEVER or role in _NEVER_ROLES or names & _COMMENT_NAMES:
-        return "comment"
-    if names & _NEVER_NAMES:
-        return "never"
-    if tag == "header":
-        return "header"
-    if tag in _CONTENT or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody":
-        return "content"
-    if tag in ("div", "section") and any(
-        set(c) <= _CONTENT_NAMES and (len(c) > 1 or c[0] in ("article", "articlebody", "maincontent", "post", "entry", "story"))
-        for c in classes
-    ):
-        return "named"
-    return ""
-
-
-def tokens(html: str) -> list[tuple[str, str, int]]:
-    """(class, text, words): texts with the class of their words, tags with "<name", blocks without content "block"."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
-    state, links, has_content = "", 0, False
-    for m in _TOKEN.finditer(html):
-        tag = m[3]
-        if tag is None:
-            text = m[0]
-            if text[0] == "<" and (m[1] or len(text) > 1):
-                if m[1]:
-                    out.append(("break", " ", 0))
-                continue
-            if state in ("never", "comment"):
-                continue
-            text = unescape(text)
-            words = text.split()
-            n = 0 if state != "content" and len(words) == 1 and words[0] in _SEPARATORS else len(words)
-            if state == "content" and n:
-                has_content = True
-            out.append(("link" if links else "main" if state == "content" else "plain", text, n))
+    at, n = 0, len(html)
+    last = {c: html.rfind(c) for c in "\"'"}
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0:
+            yield "text", "", html[at:]
+            return
+        if lt > at:
+            yield "text", "", html[at:lt]
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            if end < 0:
+                return
+            at = end + 3
             continue
-        tag = tag.lower()
-        if tag not in _INLINE:
-            out.append(("break", " ", 0))
-        if m[2]:
-            if tag == "a":
-                links = 0
-            if tag in _CONTAINERS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        state = stack[-1][1] if stack else ""
-                        break
-                    # an inline or paragraph end does not close the blocks around it
-                    if tag in _INLINE or tag in ("p", "li", "td"):
-                        if stack[i][0] not in _INLINE and stack[i][0] not in ("p", "li", "td"):
-                            break
+        closing = html.startswith("/", lt + 1)
+        name = _NAME.match(html, lt + 1 + closing)
+        if not name:
+            if closing or html[lt + 1 : lt + 2] in ("!", "?"):
+                end = html.find(">", lt)
+                if end < 0:
+                    return
+                at = end + 1
+            else:
+                yield "text", "", "<"
+                at = lt + 1
             continue
-        raw = m[4] or ""
-        if tag == "a":
-            links = 1 if "href" in raw.lower() else links
-        if tag not in _VOID and not raw.endswith("/") and tag in _CONTAINERS:
-            if tag == "p" or tag not in _INLINE and tag not in ("li", "td"):
-                while stack and stack[-1][0] in ("p", "span", "a"):
-                    stack.pop()
-                    links = 0
-            elif tag == "li" and stack and stack[-1][0] == "li" or tag == "td" and stack and stack[-1][0] == "td":
-                stack.pop()
-            if tag in ("article", "main", "body") and state in ("never", "comment"):
-                first = next(i for i, s in enumerate(stack) if s[1] in ("never", "comment"))
-                if stack[first][0] in ("nav", "head", "header"):
-                    del stack[first:]  # such a block was left open
-            state = stack[-1][1] if stack else ""
-            kind = _kind(tag, raw) if len(raw) < 300 else _kind.__wrapped__(tag, raw)
-            if kind == "header":
-                kind = "" if state == "content" else "never"
-            if state == "comment":
-                new = "comment"
-            elif state == "never":
-                new = kind if kind in ("content", "comment") else "never"
+        end, i = -1, name.end()
+        while m := _TAG_STOP.search(html, i):
+            i = m.start()
+            if html[i] == ">":
+                end = i
+                break
+            k = i - 1
+            while html[k].isspace():
+                k -= 1
+            if html[k] != "=":
+                i += 1
+            elif i < last[html[i]]:
+                i = html.find(html[i], i + 1) + 1
             else:
-                new = "content" if kind == "named" else kind or state
-            if new in ("never", "comment") and state not in ("never", "comment"):
-                out.append(("block", "", 1))
-            state = new
-            stack.append((tag, state))
-        out.append((f"<{tag}", "", 1))
-    if has_content:
-        out = [("outside", t, n) if c == "plain" else (c, t, n) for c, t, n in out]
-    return out
+                end = html.find(">", i)
+                break
+        if end < 0:
+            return
+        tag, at = name[0].lower(), end + 1
+        if closing:
+            yield "close", tag, ""
+            continue
+        raw = html[name.end() : end]
+        yield "open", tag, raw
+        if tag in _RAW and not raw.endswith("/"):
+            m = _RAW_END[tag].search(html, at)
+            if not m:
+                return
+            at = m.start()
+
+
+def _element(tag: str, raw: str) -> tuple[str, ...]:
+    """Features of an element: its tag, role, names and their parts."""
+    out = [f"<{tag}"] if tag not in ("html", "body", "div", "span", "a") else []
+    if not raw.strip(" /"):
+        return tuple(out)
+    attrs: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        attrs.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if tag == "a" and "href" in attrs:
+        out.append("href")
+    if tag in ("html", "body"):
+        return ()
+    for whole in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        parts = _WORDS.findall(whole)
+        out += [f"={'-'.join(parts)}", *(f"~{p}" for p in parts)]
+    for a in ("role", "itemprop"):
+        if a in attrs:
+            out.append(f"{a}:{attrs[a].lower()}")
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")):
+        out.append("hidden")
+    return tuple(dict.fromkeys(out))
+
+
+_cached_element = lru_cache(4096)(_element)
+
+
+class Segment:
+    """Text of a block, or a part of it with names of its own, under one set of open elements."""
+
+    __slots__ = ("text", "words", "features", "inside", "space")
+
+    def __init__(self, text: str, features: frozenset[str], inside: bool, space: bool):
+        self.text, self.words, self.features, self.inside, self.space = text, len(text.split()), features, inside, space
 
 
-#: Labelled pages: what stands between [[ and ]] is the content region.
-LABELLED: tuple[str, ...] = (
-    "<html><head><title>A b</title></head><body><nav><a href=/>home</a><a href=/x>more</a></nav><article>[[<h1>The title of it</h1><p>Some words of the first part of this text stand here.</p><p>More of them follow <a href=y>there</a> and end.</p>]]</article><footer>c 2020 all of it</footer></body></html>",
-    "<body><div class=menu><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div><div>[[<h2>What we found</h2><p>It took a long time until anyone found what was wrong with the old bridge.</p><div class=ad>buy this now</div><p>Nobody asked, and so nobody said a word about it.</p>]]</div><div><a href=a>next</a> <a href=b>last</a></div></body>",
-    "<body><table><tr><td><a href=/a>news</a><td><a href=/b>sport</a><td><a href=/c>people</a></table><div>[[<p>A short note on bread: it needs time, water and little else, say those who bake it every day.</p><p>Try it.</p>]]</div><form><input> <button>send</button></form><ul><li><a href=q>terms</a><li><a href=p>privacy</a></ul></body>",
-    "<body><header><h3>Site</h3><a href=/>start</a></header><main>[[<h1>Rain</h1><p>It rained for nine days and the river rose over the lower fields.</p><ul><li>roads were closed</li><li>schools stayed open</li></ul><p>On the tenth day it stopped.</p>]]</main><aside><p>Read also</p><a href=z>Snow</a></aside><div>Made by hand in the north</div></body>",
-    "<body><p><a href=1>a</a> | <a href=2>b</a> | <a href=3>c</a></p>[[<h1>On maps</h1><blockquote>Every map leaves out most of the world.</blockquote><p>That is its use, and the reason why <b>two</b> maps of one town can differ so much.</p>]]<div class=comments><p>I like this one a lot</p></div><p><a href=9>imprint</a></p></body>",
-)
-
-
-@cache
-def weights() -> dict[str, float]:
-    """Log-odds of each token class from the labelled pages; plain words are never negative and tags never positive."""
-    inside, outside = Counter(), Counter()
-    for page in LABELLED:
-        within = False
-        for kind, text, n in tokens(page.replace("[[", "<wbr-on>").replace("]]", "<wbr-off>")):
-            if kind == "<wbr-on":
-                within = True
-            elif kind == "<wbr-off":
-                within = False
-            elif kind != "break":
-                (inside if within else outside)[kind] += n
-    odds = {k: log((inside[k] + 0.5) / (outside[k] + 0.5)) for k in {*inside, *outside}}
-    out = {k: min(-0.05, max(-3.0, v - 1)) if k[0] == "<" else v for k, v in odds.items()}
-    return out | {"main": max(2.0, out["main"]), "plain": max(0.5, out["plain"]), "outside": min(-0.5, out.get("outside", -1.0)), "block": -1.0, "tag": -0.3}
+def _form(tag: str, text: str, words: int, links: int) -> set[str]:
+    """Features of a block's text: the element it stands in, its size, the share of links, and marks of sentences."""
+    share = links / max(1, words)
+    size = "1" if words < 2 else "3" if words < 4 else "8" if words < 9 else "long"
+    form = "all" if share > 0.9 else "most" if share > 0.5 else "some" if share > 0.15 else "few"
+    return {f"in:{tag}", f"words:{size}", f"links:{form}", f"links:{form}:{size}", f"marks:{any(c in text for c in '.?!;')}"}
+
+
+class Page:
+    """Reads markup into ``tokens``: Segments, and names of opened blocks."""
+
+    def __init__(self, html: str, known: dict[str, float] | None = None):
+        self.known, self.tokens, self.content = known, [], False
+        # open elements: (tag, features, within article or main, within a link)
+        self.stack: list[tuple[str, frozenset[str], bool, bool]] = [("", frozenset(), False, False)]
+        # texts since the last border, and parts of the block so far
+        self.parts: list[tuple[str, bool]] = []
+        self.block: list[tuple[str, int, frozenset[str], bool]] = []
+        self.space, self.n_open = True, Counter()
+        for kind, tag, raw in markup(html):
+            if kind == "text":
+                self.parts.append((unescape(raw), self.stack[-1][3]))
+            elif kind == "open":
+                self._open(tag, raw)
+            else:
+                self._close(tag)
+        self._flush()
+
+    def _split(self) -> None:
+        """Ends a part of a block."""
+        if self.parts:
+            _, features, inside, _ = self.stack[-1]
+            links = sum(len(t.split()) for t, linked in self.parts if linked)
+            self.block.append(("".join(t for t, _ in self.parts), links, features, inside))
+            self.parts = []
+
+    def _flush(self) -> None:
+        """Ends a block."""
+        self._split()
+        if not self.block:
+            return
+        whole = "".join(b[0] for b in self.block)
+        if not whole.isspace():
+            tag = next((e[0] for e in reversed(self.stack[-8:]) if e[0] not in _NAMED), "")
+            form = _form(tag, whole, len(whole.split()), sum(b[1] for b in self.block))
+            for text, _, features, inside in self.block:
+                self.content |= inside
+                self.tokens.append(Segment(text, features | form, inside, self.space))
+                self.space = False
+        self.block = []
+
+    def _drop(self, i: int) -> None:
+        """Closes the open elements from place ``i`` on."""
+        for e in self.stack[i:]:
+            self.n_open[e[0]] -= 1
+        del self.stack[i:]
+
+    def _open(self, tag: str, raw: str) -> None:
+        inline = tag in _INLINE
+        if not inline:
+            self._flush()
+            self.space = True
+            self.tokens.append(tag)
+        if tag in _VOID or raw.endswith("/") or tag in _RAW or inline and tag not in _NAMED:
+            return
+        if not inline:
+            # a paragraph ends where a block begins
+            i = len(self.stack) - 1
+            while self.stack[i][0] in _NAMED:
+                i -= 1
+            if self.stack[i][0] == "p":
+                self._drop(i)
+            elif tag in _CELLS and self.stack[i][0] in _CELLS and self.stack[i][0] != "tr":
+                self._drop(i)
+        elif tag == "a" and self.stack[-1][0] == "a":
+            self._split()
+            self._drop(len(self.stack) - 1)
+        if tag in ("article", "main"):
+            # a block of the page's head that was left open
+            for i, e in enumerate(self.stack[:16]):
+                if e[0] in ("nav", "head", "header"):
+                    self._drop(i)
+                    break
+        _, features, inside, linked = self.stack[-1]
+        own = (_cached_element if len(raw) < 300 else _element)(tag, raw)
+        if "href" in own:
+            linked, own = True, [f for f in own if f != "href"]
+        if inside:
+            own = [f"{f}@" if f[0] == "<" else f for f in own]
+        if self.known is not None:
+            own = [f for f in own if f in self.known]
+        inside = inside or tag in ("article", "main")
+        if not features.issuperset(own):
+            if inline:
+                self._split()  # a part with a name of its own, in the middle of a block
+            features = features.union(own)
+        self.stack.append((tag, features, inside, linked))
+        self.n_open[tag] += 1
+
+    def _close(self, tag: str) -> None:
+        if tag in _INLINE:
+            if tag in _NAMED and self.n_open[tag] > 0:
+                for i in range(len(self.stack) - 1, max(0, len(self.stack) - 9), -1):
+                    if self.stack[i][0] == tag:
+                        if self.stack[i][1] is not self.stack[i - 1][1]:
+                            self._split()
+                        self._drop(i)
+                        break
+                    if self.stack[i][0] not in _NAMED and tag != "a":
+                        break
+            return
+        self._flush()
+        self.space = True
+        if self.n_open[tag] <= 0 or tag == "p" and self.stack[-1][0] not in ("p", *_NAMED):
+            return
+        i = len(self.stack) - 1
+        while self.stack[i][0] != tag:
+            i -= 1
+        self._drop(i)
+
+    def features(self, s: Segment) -> frozenset[str]:
+        return s.features | {"outside"} if self.content and not s.inside else s.features
+
+
+def _train(rows: Counter, ridge: float = 1.0, steps: int = 25) -> dict[str, float]:
+    """Weights of a ridge logistic regression on sets of features, the bias under "", by Newton steps; ``rows`` counts
+    each (set, is content)."""
+    seen = Counter(f for (r, _), n in rows.items() for f in r for _ in range(min(n, 3)))
+    names = sorted(f for f, n in seen.items() if n > 2)
+    at = {f: i + 1 for i, f in enumerate(names)}
+    x, y, n = np.zeros((len(rows), len(names) + 1), np.float32), np.zeros(len(rows)), np.zeros(len(rows))
+    x[:, 0] = 1
+    for k, ((row, good), times) in enumerate(sorted(rows.items(), key=lambda r: (sorted(r[0][0]), r[0][1]))):
+        x[k, [at[f] for f in row if f in at]] = 1
+        y[k], n[k] = good, times
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        g = x.T @ (n * (p - y)).astype(np.float32) + ridge * w
+        h = (x * (n * p * (1 - p) + 1e-5)[:, None].astype(np.float32)).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w -= step
+        if np.abs(step).max() < 1e-3:
+            break
+    return {"": round(float(w[0]), 4)} | {f: round(float(w[i]), 4) for f, i in at.items()}
+
+
+@lru_cache(1)
+def weights() -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of the features of words, and those of tags, from the labelled pages."""
+    rows, inside, all_ = Counter(), Counter(), Counter()
+    for html in pages(LABELLED, SEED):
+        page = Page(html)
+        content = [i for i, t in enumerate(page.tokens) if isinstance(t, Segment) and MARK in t.text]
+        first = content[0] if content else 0
+        while first and isinstance(page.tokens[first - 1], str):
+            first -= 1  # the tags before it open the first block
+        for i, t in enumerate(page.tokens):
+            if isinstance(t, Segment):
+                rows[page.features(t), MARK in t.text] += 1
+            else:
+                all_[t] += 1
+                inside[t] += bool(content) and first <= i <= content[-1]
+    tags = {t: round(log((inside[t] + 0.5) / (all_[t] + 1)), 4) for t in all_}
+    total = round(log((sum(inside.values()) + 0.5) / (sum(all_.values()) + 1)), 4)
+    return _train(rows), tags | {"": total}
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -211,37 +323,59 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def main_text(html: str | None) -> str:
+def scored(page: Page, words: dict[str, float], tags: dict[str, float]) -> list[float]:
+    """The score of each token; that of a word times their number, where it is above zero."""
+    out, bias, other = [], words[""], tags[""]
+    for t in page.tokens:
+        if isinstance(t, Segment):
+            s = bias + sum(words.get(f, 0.0) for f in sorted(page.features(t)))
+            out.append(s * t.words if s > 0 else other)
+        else:
+            out.append(tags.get(t, other))
+    return out
+
+
+def main_text(html: str | None, learned: tuple[dict[str, float], dict[str, float]] | None = None) -> str:
     if not html:
         return ""
-    row, w = tokens(html), weights()
-    other = w["tag"]
-    # inline tags say nothing about where the content ends
-    scores = [
-        n * w.get(k, other) if k[0] != "<" or k[1:] not in _INLINE and k[1:] not in ("br", "p") else -0.02 * n
-        for k, _, n in row
-    ]
+    words, tags = learned or weights()
+    page = Page(html, words)
+    scores = scored(page, words, tags)
     a, b = best_run(scores)
-    return " ".join("".join(t for k, t, _ in row[a:b] if k[0] != "<" and k not in ("outside", "block")).split())
+    out, space = [], True
+    for t, s in zip(page.tokens[a:b], scores[a:b], strict=True):
+        if isinstance(t, str):
+            space = True
+            continue
+        space = space or t.space
+        if s > 0:
+            out.append(" " + t.text if space else t.text)
+            space = False
+    return " ".join("".join(out).split())
+
 
+def _extract(learned: tuple[dict[str, float], dict[str, float]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(h.as_py(), learned) for h in batch.column("html")]
+            sizes = pa.array([*map(len, texts)], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), sizes],
+                ["page_id", "url", "text", "n_chars"],
+            )
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(h.as_py()) for h in batch.column("html")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts), pa.array([*map(len, texts)], pa.int64())],
-            ["page_id", "url", "text", "n_chars"],
-        )
+    return run
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page; one pass, no shuffle.
 
     Defined cases: a null or empty page, and one without content, has the empty text; tags left open, raw ``<`` and
-    character references without ";" are read as browsers do; an element left open ends with its parent; equal pages
-    have equal texts; an empty table gives an empty result; other columns are ignored.
+    character references without ";" are read as browsers do; an element left open ends with its parent; time and memory are
+    linear in a page's length, whatever its markup; equal pages have equal texts and repeated rows are read each; of runs of equal
+    sums the first counts; an empty table gives an empty result; other columns are ignored.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     return pages.select("page_id", "url", "html").mapInArrow(
-        _extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
+        _extract(weights()), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
     )

@@ -196,3 +196,5 @@ def test_pages_table(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in extract_pages(df).collect()}
     assert got == {i: (t, len(t)) for i, (_, t) in enumerate(PAGES)}
     assert extract_pages(df.limit(0)).count() == 0
+    again = extract_pages(df.unionByName(df)).groupBy("page_id", "text").count().collect()
+    assert all(r["count"] == 2 for r in again) and len(again) == len(PAGES)
