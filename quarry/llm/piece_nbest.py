@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Chunks, and piece ids of chunks, that a task remembers before it starts anew.
-CACHE, CACHED_IDS = 300_000, 4_000_000
+CACHE, CACHED_IDS = 250_000, 4_000_000
 #: Piece ids of the N best ways of chunks that a task remembers.
-WAYS_IDS = 1_000_000
+WAYS_IDS = 300_000
 _CHUNK = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
 Vocabulary = dict[str, tuple[int, float]]
@@ -97,6 +98,16 @@ def fork_key(j: int, i: int, best: int) -> tuple[int, int, int]:
     return (0, -j, i) if i < best else (2, j, i)
 
 
+@lru_cache(1)
+def _finder(pieces: tuple[tuple[str, tuple[int, float]], ...]) -> ahocorasick.Automaton:
+    """Finds all pieces in a text in one pass: for each end, the longest first. Of the model's size; one per process."""
+    found = ahocorasick.Automaton()
+    for piece, (i, score) in pieces:
+        found.add_word(piece, (i, score, len(piece), 1))
+    found.make_automaton()
+    return found
+
+
 class Segmenter:
     """Segmentations of texts under one vocabulary. Scores add up; a character without a piece costs ``unknown``.
 
@@ -111,20 +122,12 @@ class Segmenter:
         self.longest = max(map(len, pieces))
         # pieces of spaces alone have scores of minus a thousand million: no measure for a lost character
         self.unknown = min((s for _, s in pieces.values() if s > -1e8), default=0.0) - 10
-        #: Characters that are pieces, and the characters of each piece (the last, for -1: of a character by its bytes).
+        #: Characters that are pieces, and the characters of each id (the last, for -1: of a character by its bytes).
         self.single = {x for x in pieces if len(x) == 1}
         self.length = [0] * len(text) + [1]
         for piece, (i, _) in pieces.items():
             self.length[i] = len(piece)
-        # a trie's node: piece id, score (None: no piece ends here), and how to find its children
-        children: dict[str, dict] = {"": {}}
-        for piece in pieces:
-            for k in range(1, len(piece) + 1):
-                children.setdefault(piece[:k], {})
-        for prefix in sorted(children, key=len, reverse=True)[:-1]:
-            i, score = pieces.get(prefix, (-1, None))
-            children[prefix[:-1]][prefix[-1]] = (i, score, children.pop(prefix).get)
-        self.trie = children[""].get
+        self.find = _finder(tuple(pieces.items())).iter
         self.forget()
 
     def forget(self) -> None:
@@ -159,39 +162,36 @@ class Segmenter:
             out.append((j - 1, -1, len(chunk[j - 1].encode("utf-8", "surrogatepass")), self.unknown))
         return out
 
+    def _all_edges(self, chunk: str) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
+        """(end - 1, (piece, score, length, pieces)) of all edges, those of characters without a piece too."""
+        found = self.find(chunk)
+        now = next(found, None)
+        for k, c in enumerate(chunk):
+            while now and now[0] == k:
+                yield now
+                now = next(found, None)
+            if c not in self.single:
+                yield k, (-1, self.unknown, 1, len(c.encode("utf-8", "surrogatepass")))
+
     def forward(self, chunk: str) -> Lattice:
-        """Viterbi: edges leave each node in turn, so those into a node come by rising start, the longest piece first."""
-        n, longest, trie, ties = len(chunk), self.longest, self.trie, {}
+        """Viterbi over the nodes in turn; the edges into a node come by rising start, the longest piece first."""
+        n, ties = len(chunk), {}
         score, count, piece, second = [_NONE] * (n + 1), [0] * (n + 1), [-1] * (n + 1), [_NONE] * (n + 1)
         score[0] = 0.0
-        whole = self.single.issuperset(chunk)
-        for i in range(n):
-            here, step, get, j = score[i], count[i] + 1, trie, i
-            for c in chunk[i : i + longest]:
-                node = get(c)
-                if node is None:
-                    break
-                j += 1
-                p, s, get = node
-                if s is not None:
-                    v, old = here + s, score[j]
-                    if v > old:
-                        second[j] = old
-                        score[j] = v
-                        count[j] = step
-                        piece[j] = p
-                    elif v >= second[j]:
-                        if v == old:
-                            self._tied(ties, second[j] == old, count, piece, j, p, step)
-                        second[j] = v
-            if not whole and chunk[i] not in self.single:
-                v, j, step = here + self.unknown, i + 1, step - 1 + len(chunk[i].encode("utf-8", "surrogatepass"))
-                if v > score[j]:
-                    second[j], score[j], count[j], piece[j] = score[j], v, step, -1
-                elif v >= second[j]:
-                    if v == score[j]:
-                        self._tied(ties, second[j] == v, count, piece, j, -1, step)
-                    second[j] = v
+        edges = self.find(chunk) if self.single.issuperset(chunk) else self._all_edges(chunk)
+        for k, (p, s, size, pieces) in edges:
+            j = k + 1
+            i = j - size
+            v, old = score[i] + s, score[j]
+            if v > old:
+                second[j] = old
+                score[j] = v
+                count[j] = count[i] + pieces
+                piece[j] = p
+            elif v >= second[j]:
+                if v == old:
+                    self._tied(ties, second[j] == old, count, piece, j, p, count[i] + pieces)
+                second[j] = v
         return Lattice(score, count, piece, second, ties)
 
     @staticmethod
@@ -294,28 +294,31 @@ class Segmenter:
             self.ways[chunk, n] = found
         return found
 
-    def _tie(self, chunk: str, n: int) -> tuple[int, bool]:
+    def _tie(self, chunk: str, number: int, n: int) -> tuple[int, bool]:
         """How many pieces a chunk's second way has more, and whether its pieces alone would put it before the best."""
-        if n not in self.ties:
-            best, second = self._ways(chunk, 2)
-            self.ties[n] = (len(second[1]) - len(best[1]), second[2] < best[2])
-        return self.ties[n]
+        if number not in self.ties:
+            best, second = self._ways(chunk, n)[:2]
+            self.ties[number] = (len(second[1]) - len(best[1]), second[2] < best[2])
+        return self.ties[number]
 
     def _open(self, chunks: list[str], at: np.ndarray, n: int) -> list[int]:
         """The ``n - 1`` chunks whose second way makes the best second ways of the text, in the order of the text."""
         lost = np.frombuffer(self.lost)[at]
-        few = np.arange(len(lost))
-        if len(lost) >= n:
-            few = np.flatnonzero(lost <= np.partition(lost, n - 2)[n - 2])
-        few = few[lost[few] < np.inf].tolist()
-        if len(few) >= n:
+        if len(lost) < n:
+            return np.flatnonzero(lost < np.inf).tolist()
+        most = np.partition(lost, n - 2)[n - 2]
+        if most == np.inf:
+            return np.flatnonzero(lost < np.inf).tolist()
+        sure, even = np.flatnonzero(lost < most).tolist(), np.flatnonzero(lost == most).tolist()
+        room = n - 1 - len(sure)
+        if len(even) > room:
 
             def place(k: int) -> tuple:
-                more, late = self._tie(chunks[k], int(at[k]))
-                return float(lost[k]), more, not late, -k if late else k
+                more, late = self._tie(chunks[k], int(at[k]), n)
+                return more, not late, -k if late else k
 
-            few = sorted(few, key=place)[: n - 1]
-        return sorted(few)
+            even = sorted(even, key=place)[:room]
+        return sorted(sure + even)
 
     def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, list[tuple[float, np.ndarray]], bool]:
         """Ids of the best segmentation; the ``n`` best as (score, ids), the best first; and whether the ids decode
