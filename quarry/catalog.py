@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import graph_plans, text_plans
-from quarry.plans.shared_sql import SHARED, SPARK_SPELLING
-
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-def _shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query of one SQL text; the tables it names are handed over as DataFrames, without global views."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text, used = sql, {}
-        for ours, theirs in SPARK_SPELLING.items():
-            text = text.replace(ours, theirs)
-        for t in TABLES:
-            found = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
-            if found != text:
-                used[t], text = spark.read.parquet(f"{sf_dir}/{t}.parquet"), found
-        return spark.sql(text, **used)
-
-    return run
-
+from quarry.plans import graph_plans, store_plans, text_plans
+from quarry.plans.shared_sql import SHARED
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _shared(sql) for name, sql in SHARED.items()} | text_plans.Q | graph_plans.Q
+    return store_plans.Q | text_plans.Q | graph_plans.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.replace("sha256(encode(text))", "sha256(text)") for k, v in SHARED.items()} | text_plans.SQL | graph_plans.SQL
+    return SHARED | text_plans.SQL | graph_plans.SQL

@@ -156,11 +156,22 @@ def design_patterns(classes: DataFrame) -> DataFrame:
     return classes.select("scan_id", "module_id", F.col("name").alias("class_name"), F.inline(pairs))
 
 
+def span(line: str, end: Column | int, w) -> Column:
+    """Lines from a symbol to the next one of its window, or to ``end``."""
+    last = F.lit(end) if isinstance(end, int) else end
+    return F.coalesce(F.lead(line).over(w), last) - F.col(line)
+
+
+def average_fans(modules: DataFrame) -> DataFrame:
+    """Averages over all modules. ``modules``: fan_in, fan_out."""
+    return modules.agg(F.round(F.avg("fan_in"), 4).alias("avg_fan_in"), F.round(F.avg("fan_out"), 4).alias("avg_fan_out"))
+
+
 def method_spans(symbols: DataFrame, modules: DataFrame) -> DataFrame:
     """Length of each method: up to the next method of its class, or to the file's end; at least 1."""
     w = Window.partitionBy("scan_id", "module_id", "parent").orderBy("line", "name")
     rows = symbols.filter("kind = 'method'").join(modules.select("scan_id", "module_id", "loc"), ["scan_id", "module_id"])
-    return rows.withColumn("span", F.greatest(F.lit(1), F.lead("line").over(w) - F.col("line"), F.when(F.lead("line").over(w).isNull(), F.col("loc") - F.col("line") + 1)))
+    return rows.withColumn("span", F.greatest(F.lit(1), span("line", F.col("loc") + 1, w)))
 
 
 def long_methods(spans: DataFrame, limit: int = 80) -> DataFrame:

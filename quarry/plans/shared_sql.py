@@ -1,4 +1,4 @@
-"""Relational queries that both engines read alike: one text each, run by Catalyst over the tables it names.
+"""SQL of the queries on the scan store, for comparison only; ``store_plans`` has the queries.
 
 The tables stand in for those of a scan store: ``events`` for findings (type = rule, user = file), ``lineitem`` for
 function measures, ``orders``/``customer``/``nation`` for scans, versions and projects, ``part`` for rules.
@@ -57,8 +57,6 @@ SHARED: dict[str, str] = {
     "q_go_averages": "SELECT round(avg(fi), 4) AS avg_fan_in, round(avg(fo), 4) AS avg_fan_out FROM (SELECT c_nationkey AS k, count(*) AS fi, count(DISTINCT c_mktsegment) AS fo FROM customer GROUP BY c_nationkey) x",
     "q_radar_delta": """SELECT o_custkey, o_orderkey, round(s, 1) AS score, round(s - lag(s) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 1) + 0.0 AS delta
         FROM (SELECT o_custkey, o_orderkey, o_orderdate, greatest(0.0, 100.0 - o_totalprice / 5000) AS s FROM orders) x""",
-    "q_exact_clones": "SELECT sha256(encode(text)) AS fingerprint, count(*) AS occurrences, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "q_exact_clones": "SELECT sha256(text) AS fingerprint, count(*) AS occurrences, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "q_arch_table_reads": "SELECT 'modules' AS kind, count(*) AS n FROM part UNION ALL SELECT 'edges', count(*) FROM lineitem UNION ALL SELECT 'symbols', count(*) FROM orders",
 }
-#: Where the engines spell a function differently.
-SPARK_SPELLING = {"sha256(encode(text))": "sha2(text, 256)"}
