@@ -48,6 +48,8 @@ def nation_edges(spark, d: str, whole: bool = False) -> DataFrame:
     return graph.merged_edges(raw)
 
 
+WHOLE_EDGES = f"(SELECT 1 AS scan_id, a AS src, b AS dst, count(*) AS n FROM {RAW} r WHERE a <> b GROUP BY a, b)"
+E1 = f"(SELECT scan_id, printf('%02d', src) AS src, printf('%02d', dst) AS dst, n FROM {WHOLE_EDGES} e)"
 E2 = f"(SELECT scan_id, printf('%02d', src) AS src, printf('%02d', dst) AS dst, n FROM {NATION_EDGES} e)"
 REACH = f"RECURSIVE e AS (SELECT src, dst FROM {E2}), reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst)"
 SCC = f"{REACH}, scc AS (SELECT a.src AS module_id, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"
@@ -57,12 +59,12 @@ def modules_of(edges: DataFrame) -> DataFrame:
     return edges.select("scan_id", F.col("src").alias("module_id")).union(edges.select("scan_id", "dst")).distinct()
 
 
-@query(f"SELECT src, dst, n FROM {E2}")
+@query(f"SELECT src, dst, n FROM {E1}")
 def q_dep_edges(spark, d):
     return nation_edges(spark, d, whole=True).select("src", "dst", F.col("count").alias("n"))
 
 
-@query(f"WITH e AS (SELECT * FROM {E2}), m AS (SELECT src AS x FROM e UNION SELECT dst FROM e) SELECT x AS module_id, (SELECT count(DISTINCT src) FROM e WHERE dst = x) AS fan_in, (SELECT count(DISTINCT dst) FROM e WHERE src = x) AS fan_out FROM m")
+@query(f"WITH e AS (SELECT * FROM {E1}), m AS (SELECT src AS x FROM e UNION SELECT dst FROM e) SELECT x AS module_id, (SELECT count(DISTINCT src) FROM e WHERE dst = x) AS fan_in, (SELECT count(DISTINCT dst) FROM e WHERE src = x) AS fan_out FROM m")
 def q_fan(spark, d):
     e = nation_edges(spark, d, whole=True)
     return graph.fans(modules_of(e), e).select("module_id", "fan_in", "fan_out")
@@ -108,7 +110,7 @@ def q_topo_level(spark, d):
     return graph.topological_levels(e).select("module_id", "level")
 
 
-@query(f"SELECT side, other, n FROM (SELECT 'in' AS side, src AS other, n, row_number() OVER (ORDER BY src) AS k FROM {E2} WHERE dst = '03' UNION ALL SELECT 'out', dst, n, row_number() OVER (ORDER BY dst) FROM {E2} WHERE src = '03') WHERE k <= 15")
+@query(f"SELECT side, other, n FROM (SELECT 'in' AS side, src AS other, n, row_number() OVER (ORDER BY src) AS k FROM {E1} WHERE dst = '03' UNION ALL SELECT 'out', dst, n, row_number() OVER (ORDER BY dst) FROM {E1} WHERE src = '03') WHERE k <= 15")
 def q_neighbours(spark, d):
     return graph.neighbours(nation_edges(spark, d, whole=True), "03").select("side", "other", F.col("count").alias("n"))
 
@@ -188,7 +190,7 @@ def q_layer_go(spark, d):
     return A.dotted_violations(spark.createDataFrame(_GO, "scan_id bigint, src string, dst string, kind string")).drop("scan_id", "severity")
 
 
-@query(f"SELECT round(count_if(a.n_regionkey <> b.n_regionkey) / count(*), 6) AS ratio FROM {NATION_EDGES} e JOIN nation a ON a.n_nationkey = e.src JOIN nation b ON b.n_nationkey = e.dst")
+@query(f"SELECT round(count_if(a.n_regionkey <> b.n_regionkey) / count(*), 6) AS ratio FROM {WHOLE_EDGES} e JOIN nation a ON a.n_nationkey = e.src JOIN nation b ON b.n_nationkey = e.dst")
 def q_cross_layer_ratio(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet").select(F.format_string("%02d", "n_nationkey").alias("k"), "n_regionkey")
     e = nation_edges(spark, d, whole=True)

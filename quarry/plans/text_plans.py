@@ -161,11 +161,12 @@ def q_token_windows(spark, d):
     return win.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct("doc_id").alias("documents")).filter("documents > 1")
 
 
-@query("""SELECT conv_id, turn, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ' ')[1:4], lambda w:
-list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 131 + c) & 2147483647))), lambda h, v: (h * 257 + v) % 1000000007) AS hash
-FROM conversations WHERE regexp_matches(text, '^[\\x20-\\x7E]+$') AND len(string_split(text, ' ')) >= 4""")
+@query("""WITH v AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: list_reduce(list_prepend(0::BIGINT,
+list_transform(list_filter(string_split(w, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 131 + c) & 2147483647)) AS v FROM conversations),
+x AS (SELECT conv_id, turn, v, unnest(range(0, len(v) - 3)) AS start FROM v WHERE len(v) >= 4)
+SELECT conv_id, turn, CAST(start AS INT) AS start, list_reduce(list_prepend(0::BIGINT, v[start + 1 : start + 4]), lambda h, y: (h * 257 + y) % 1000000007) AS hash FROM x""")
 def q_rolling_hash(spark, d):
-    """Every window of four words of every text; start counts from 0. The SQL has the first window of ASCII texts only."""
+    """Every window of four words of every text; start counts from 0."""
     rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.split("text", " ")).filter(F.size("t") >= 4)
     rows = rows.select("conv_id", "turn", F.transform("t", clones.token_value).alias("v"))
     # values are computed once a text, before explode; a window is a slice of them
@@ -196,7 +197,7 @@ def q_dup_rate(spark, d):
     return clones.duplication_rate(blocks, count).select("rate")
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '"[^"]*"', ' STR ', 'g'), '\\b[0-9]+\\b', 'NUM', 'g'), '[A-Za-z_]*[a-z_][A-Za-z_]*', 'ID', 'g') AS normal FROM documents WHERE n_chars < 400""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '"[^"]*"', ' STR ', 'g'), '\\b[0-9]+\\b', 'NUM', 'g'), '[A-Za-z_]*[a-z_][A-Za-z_]*', 'ID', 'g') AS normal FROM documents""")
 def q_token_normalise(spark, d):
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", '"[^"]*"', " STR "), r"\b[0-9]+\b", "NUM"), "[A-Za-z_]*[a-z_][A-Za-z_]*", "ID")
     return docs(spark, d).select("doc_id", text.alias("normal"))
