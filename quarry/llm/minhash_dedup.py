@@ -2,7 +2,8 @@
 
 1. One pass over the texts hashes each document's distinct word shingles, keeps their number, a digest of the set,
    ``HASHES`` minima (one byte of each for the estimate) and a key for each band of ``ROWS`` minima.
-2. Documents of equal sets form a class; the least ``doc_id`` stands for it. Copies cost nothing further.
+2. Documents of equal sets form a class; the least ``doc_id`` stands for it. Copies cost nothing further: the rows meet their
+   class again only for the verdict, large classes by a broadcast of at most ``HOT`` rows.
 3. Bands are joined by key. A pair of similarity 0.8 shares none of the ``BANDS`` bands with probability 5e-6.
 4. Links are confirmed in rounds, each first on the minima (a margin of 5 standard deviations), then on the full sets.
    Star rounds compare each class with one centre of its buckets, which settles most of a dense group with one pair per
@@ -32,6 +33,8 @@ BANDS = HASHES // ROWS
 SIMILAR = 80
 #: Star rounds, the classes of an unsettled bucket of which pairs are formed, and those in a block of a larger one.
 STARS, SMALL, BLOCK = 3, 8, 400
+#: Classes of more than one in so many rows are joined by broadcast; there are at most so many.
+HOT = 1000
 _MATCHES = int(HASHES * 0.8 - 5 * (HASHES * 0.8 * 0.2) ** 0.5)
 
 _rng = np.random.default_rng(20240501)
@@ -304,20 +307,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> Data
     """Per row: ``doc_id, n_shingles, component_id`` (least id reachable over links), ``kept`` (it is that one).
 
     Defined cases: null, empty and blank texts have no shingles, are linked with nothing and kept; texts of fewer
-    than ``k`` words are linked only with texts of the same words; equal sets are linked whatever their
+    than ``k`` words are linked only with texts of the same words; very long texts are hashed whole, in time and memory linear in
+    their words; ``similar`` below 80 is refused, as the bands would lose links; equal sets are linked whatever their
     order in the text; rows repeated with one id get the same verdict; an empty table gives an empty result; other
     columns are ignored.
     """
+    if similar < SIMILAR:
+        raise ValueError(f"bands and margins are those of a similarity of {SIMILAR} or more")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     features = stored(
         texts.mapInArrow(_features(k), f"doc_id {id_type}, n long, key binary, sig binary, bands array<long>"),
         "near-features",
     )
-    classes = features.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = features.select("doc_id", "n", "key").filter("n > 0").join(classes, "key").select("doc_id", "n", "rep")
-    members = stored(members, "near-members")
-    reps = members.filter("doc_id = rep").select(F.col("rep").alias("id")).distinct()
+    whole = features.select("doc_id", "n", "key").filter("n > 0")
+    # one row for each class, combined within the tasks first: all that follows works on these
+    classes = whole.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes, "near-classes")
+    reps = classes.select(F.col("rep").alias("id")).distinct()
     chosen = features.select(F.col("doc_id").alias("id"), "n", "sig", "bands").join(reps, "id", "left_semi")
     rows = chosen.select("id", F.explode("bands").alias("band")).distinct()
     shared = rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band"), "band")
@@ -339,17 +346,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> Data
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             label = stored(components(links), "near-label")
-    out = members
+    verdicts = classes.withColumn("component", F.lit(None).cast(id_type))
     if label is not None:
-        out = members.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = members.withColumn("component", F.lit(None).cast(id_type))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        verdicts = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    verdicts = stored(verdicts.select("key", "copies", F.coalesce("component", "rep").alias("component_id")), "near-verdicts")
+    # at most HOT classes can have over one in HOT of all rows: their verdicts are sent, so that their rows are never dealt by key
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = F.broadcast(verdicts.filter(F.col("copies") * HOT > total))
+    rest = whole.join(hot.select("key"), "key", "left_anti").join(verdicts.filter(F.col("copies") * HOT <= total), "key")
+    out = whole.join(hot, "key").unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = features.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns; the cases are those of ``near_duplicates``, and every row of an id
+    that is kept stays."""
     kept = near_duplicates(docs, k, similar).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")

@@ -80,6 +80,19 @@ def test_near_against_all_pairs(docs_of, monkeypatch, stars, small):
     assert {r.doc_id: r.n_shingles for r in got} == size
 
 
+def test_near_with_hot_classes(docs_of, monkeypatch):
+    """A third of all rows is one text; its rows get their verdict by broadcast, others by a join, and as in brute force."""
+    monkeypatch.setattr(M, "HOT", 6)
+    rows = [t for _, t in corpus(9, groups=2, size=6)]
+    rows = list(enumerate([*rows, *[rows[3]] * 12, *[rows[5]] * 2]))
+    comp, size = brute(rows, 4)
+    got = near_duplicates(docs_of(rows), k=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == comp and len(got) == len(rows)
+    assert {r.doc_id: r.n_shingles for r in got} == size
+    with pytest.raises(ValueError, match="80"):
+        near_duplicates(docs_of(rows), similar=70)
+
+
 def test_near_awkward(awkward, empty):
     got = {r.doc_id: r for r in near_duplicates(awkward, k=4).collect()}
     assert near_duplicates(awkward, k=4).count() == awkward.count()
