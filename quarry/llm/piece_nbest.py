@@ -29,6 +29,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Chunks, and piece ids of chunks, that a task remembers before it starts anew.
 CACHE, CACHED_IDS = 250_000, 4_000_000
+#: Rows of which the results are held at a time; they are several times as large as the texts.
+ROWS = 500
 #: Piece ids of the N best ways of chunks that a task remembers.
 WAYS_IDS = 300_000
 _CHUNK = re.compile(" +[^ \n]*|[^ \n]+|\n")
@@ -380,7 +382,7 @@ def _encode(vocabulary, n: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one per task: a worker serves other operators too, and must not hold this one's memory meanwhile
         seg = Segmenter(*vocabulary.value)
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             sizes, scores, ids, shas, n_scores, n_sizes, n_ids, same = [], [], [], [], [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
