@@ -166,18 +166,20 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def topological_levels(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """scan_id, module_id, level of an acyclic graph: longest way from a source. Cyclic parts have no level."""
+    """scan_id, module_id, level of an acyclic graph: longest way from a source. Cyclic parts, and what only they lead to, have no
+    level; a graph without any gives an empty table. Raises where a way is longer than ``most``."""
     nodes = edges.select("scan_id", F.col("src").alias("module_id")).union(edges.select("scan_id", "dst")).distinct()
-    left, done, level = edges.select("scan_id", "src", "dst").distinct(), None, 0
-    while level < most:
+    left, done, level = edges.select("scan_id", "src", "dst").distinct(), nodes.withColumn("level", F.lit(0)).limit(0), 0
+    while True:
         ready = nodes.join(left.select("scan_id", F.col("dst").alias("module_id")), ["scan_id", "module_id"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
         if ready.isEmpty():
-            break
-        done = ready if done is None else done.union(ready)
+            return done
+        if level == most:
+            raise ValueError(f"a way of the graph is longer than {most} modules")
+        done = done.union(ready)
         nodes = nodes.join(ready, ["scan_id", "module_id"], "left_anti").checkpoint()
         left = left.join(ready.select("scan_id", F.col("module_id").alias("src")), ["scan_id", "src"], "left_anti").checkpoint()
         level += 1
-    return done
 
 
 def neighbours(edges: DataFrame, node: str, most: int = 15) -> DataFrame:

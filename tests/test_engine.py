@@ -13,6 +13,7 @@ from quarry.operators.lines import lines, loc
 from quarry.operators.rules import REGISTRY, Facts, rule, rule_rows, rule_stats, run_rules, set_enabled
 from quarry.plans import fixtures
 from quarry.plans.scan import architecture_facts, scan
+from quarry.plans.session import checkpoint_dir
 from quarry.sources.corpus import from_rows, read_tree, unpack_zip
 
 
@@ -214,6 +215,21 @@ def test_zip_and_tree(spark, tmp_path):
         unpack_zip("x.tar", str(tmp_path))
 
 
+def test_topological_levels_of_awkward_graphs(spark):
+    def levels(rows, **options):
+        edges = spark.createDataFrame(rows, "scan_id long, src string, dst string")
+        return {(r.module_id, r.level) for r in graph.topological_levels(edges, **options).collect()}
+
+    checkpoint_dir(spark)
+    assert levels([]) == set()
+    assert levels([(1, "a", "b"), (1, "b", "a")]) == set()
+    way = [(1, "a", "b"), (1, "b", "c"), (1, "a", "c"), (1, "x", "y"), (1, "y", "x")]
+    assert levels(way) == {("a", 0), ("b", 1), ("c", 2)}
+    assert levels(way, most=3) == levels(way)
+    with pytest.raises(ValueError):
+        levels(way, most=2)
+
+
 def test_entry_without_the_pipeline_subpackage():
     """The library's own modules never import the optional subpackage."""
     import subprocess
