@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -334,7 +335,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> Data
     sigs = stored(sigs, "near-minima")
     wanted = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     sets = stored(wanted.mapInArrow(_sets(k), f"id {id_type}, s binary").dropDuplicates(["id"]), "near-sets")
-    label, links = None, None
+    label = None
     for turn in range(STARS + 1):
         open_rows = stored(_unsettled(_labelled(shared, label)), "near-open")
         if open_rows.isEmpty():
@@ -344,8 +345,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> Data
         if turn == STARS:
             found = found.unionByName(_large_links(open_rows, sigs, sets, similar, id_type))
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            label = stored(components(links), "near-label")
+            # the components so far are stars already, so they stand for all links that made them
+            known = [] if label is None else [label.select(F.col("node").alias("u"), F.col("component").alias("v"))]
+            label = stored(components(reduce(DataFrame.unionByName, known, found)), "near-label")
     verdicts = classes.withColumn("component", F.lit(None).cast(id_type))
     if label is not None:
         verdicts = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
