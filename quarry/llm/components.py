@@ -8,45 +8,59 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import dropped, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Nodes of more than one in so many edges get their least neighbour by broadcast; at most twice as many exist.
+HOT = 1000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``rows`` (u, v) with the ``m`` of their ``u``; those of hot nodes are not dealt by it. ``least``: u, m, degree."""
+    hot = F.broadcast(least.filter(F.col("degree") * HOT > n))
+    others = rows.join(hot.select("u"), "u", "left_anti").join(least.filter(F.col("degree") * HOT <= n), "u")
+    return rows.join(hot, "u").unionByName(others).select("u", "v", "m")
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    least = least.select("u", F.least("u", "m").alias("m"), "degree")
+    return _with_least(both.filter("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-        least.select("u", F.col("m").alias("v"))
-    )
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    near = _with_least(down, least, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return near.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def _stars(edges: DataFrame) -> bool:
-    """Whether every node that points down has one edge and none pointing at it, so that no step would change anything."""
+def _state(edges: DataFrame) -> tuple[bool, int]:
+    """Whether every node that points down has one edge and none pointing at it, so that no step would change anything;
+    and the number of edges."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
     ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
     sums = ends.groupBy("x").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
-    return sums.filter("down > 1 or (down > 0 and up > 0)").isEmpty()
+    no_star, n = sums.agg(F.max(F.expr("down > 1 or (down > 0 and up > 0)")), F.sum("down")).first()
+    return not no_star, n or 0
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """``node, component`` (the least node reachable) for all nodes that have a link to another; ``links``: u, v.
 
-    Each step is a group-by with map-side combining and an equi-join whose skewed side Spark can split; what it yields
+    Each step is a group-by with map-side combining and an equi-join, by broadcast for hot nodes; what it yields
     is written to the shared folder, so the lineage stays short. It ends when all edges are stars around the least node,
     which is the fixed point; links that are stars already cost no step.
     """
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stored(edges, "cc")
     for _ in range(most):
-        if _stars(edges):
+        done, n = _state(edges)
+        if done:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
             ).distinct()
-        step = _small_star(_large_star(edges).filter("u <> v")).filter("u <> v").distinct()
+        step = _small_star(_large_star(edges, n).filter("u <> v"), n).filter("u <> v").distinct()
         last, edges = edges, stored(step, "cc")
         dropped(last)
     raise RuntimeError(f"no fixed point after {most} steps")

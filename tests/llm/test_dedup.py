@@ -147,3 +147,26 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_of_hot_nodes(spark, monkeypatch):
+    """Hot nodes get their least neighbour by broadcast, others by a join; both ways give the same."""
+    from quarry.llm import components as module
+
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(299, rng.randrange(300)) for _ in range(60)]
+    links += [(i, i + 1) for i in range(1000, 1020)]
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for u, v in links if u != v for x in (u, v)}
+    monkeypatch.setattr(module, "HOT", 4)
+    got = {r.node: r.component for r in module.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == want
