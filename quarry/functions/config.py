@@ -62,6 +62,14 @@ LAYERS: tuple[tuple[str, str, int | None], ...] = (
     ("command", "command commands", 20),
     ("query", "query queries", 20),
 )
+#: Layers of the radar's isolation score: names anywhere in a path, in order.
+RADAR_LAYERS: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("controller", ("controller", "controllers", "handler", "handlers", "api", "routes", "router", "routers", "views", "web")),
+    ("service", ("service", "services", "biz", "usecase", "usecases", "application")),
+    ("repository", ("repository", "repositories", "repo", "dao", "mapper", "persistence")),
+    ("domain", ("domain", "model", "models", "entity", "entities")),
+    ("infra", ("infra", "infrastructure", "adapter", "adapters")),
+)
 #: Layers of dotted module ids: words, rank.
 GO_LAYERS: tuple[tuple[str, str, int], ...] = (
     ("presentation", "routers controller controllers api views web", 1),
