@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import (
     html_extract,
+    importance,
+    language_id,
     license_scan,
+    merkle_manifest,
     pii,
     piece_nbest,
     quality_classifier,
@@ -63,6 +66,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -96,4 +111,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_minhash_dedup": OP5_SQL,
         "op6_license_scan": license_scan.SQL,
         "op8_exact_dedup": OP8_SQL,
+        "op11_merkle_manifest": merkle_manifest.SQL,
+        "op12_importance_resampling": importance.SQL,
     }
