@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import paths
+from quarry.operators.stage import stored
+
 
 def module_id(path: Column) -> Column:
     """Path without source root and suffix, packages folded."""
@@ -40,6 +41,12 @@ def merged_edges(raw: DataFrame) -> DataFrame:
     )
 
 
+def heavy_edges(edges: DataFrame, times: float) -> DataFrame:
+    """Edges with at least ``times`` the mean count of their scan: the strong dependencies of a dense graph."""
+    mean = edges.groupBy("scan_id").agg(F.avg("count").alias("_mean"))
+    return edges.join(mean, "scan_id").filter(F.col("count") >= F.col("_mean") * times).drop("_mean")
+
+
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """scan_id, src, target, dst: the module whose path ends with the import's segments, or the reverse.
 
@@ -67,119 +74,27 @@ def fans(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.fillna(0, ["fan_in", "fan_out"])
 
 
-def _tarjan(nodes: list, out: dict) -> list[list]:
-    index, low, on, stack, found = {}, {}, set(), [], []
-    for first in nodes:
-        if first in index:
-            continue
-        work = [(first, iter(out.get(first, ())))]
-        index[first] = low[first] = len(index)
-        stack.append(first), on.add(first)
-        while work:
-            x, rest = work[-1]
-            for y in rest:
-                if y not in index:
-                    index[y] = low[y] = len(index)
-                    stack.append(y), on.add(y)
-                    work.append((y, iter(out.get(y, ()))))
-                    break
-                if y in on:
-                    low[x] = min(low[x], index[y])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[x])
-                if low[x] == index[x]:
-                    part = []
-                    while True:
-                        y = stack.pop()
-                        on.discard(y)
-                        part.append(y)
-                        if y == x:
-                            break
-                    found.append(sorted(part))
-    return found
-
-
-def _shortest_cycle(part: list, out: dict) -> list:
-    """A shortest cycle through the first member, by breadth-first search inside the component."""
-    start, inside = part[0], set(part)
-    before, queue = {start: None}, [start]
-    for x in queue:
-        for y in out.get(x, ()):
-            if y == start:
-                path = [x]
-                while before[path[-1]] is not None:
-                    path.append(before[path[-1]])
-                return path[::-1]
-            if y in inside and y not in before:
-                before[y] = x
-                queue.append(y)
-    return part
-
-
 def cycles(edges: DataFrame) -> DataFrame:
-    """Strong components of more than one module per scan: members, size, a shortest cycle and two severities.
+    """Strong components of more than one module: members, size, a shortest cycle and two severities.
 
-    A scan's graph has at most as many nodes as a scan may have files, so a grouped stage per scan is bounded.
+    Members and path are lists for reports (a scan has at most ``Settings.max_files`` modules); ``paths`` has them as rows.
     """
-    rows = edges.filter("src <> dst").groupBy("scan_id", "src").agg(F.array_sort(F.collect_set(F.struct("dst", "is_wildcard"))).alias("to"))
-
-    def run(table: pa.Table) -> pa.Table:
-        scan, out, wild = table.column("scan_id")[0].as_py(), {}, set()
-        for src, to in zip(table.column("src").to_pylist(), table.column("to").to_pylist(), strict=True):
-            out[src] = sorted({t["dst"] for t in to})
-            wild |= {(src, t["dst"]) for t in to if t["is_wildcard"]}
-        parts = [p for p in _tarjan(sorted(out), out) if len(p) > 1]
-        path = [_shortest_cycle(p, out) for p in parts]
-        flags = [any((x, y) in wild for x in p for y in out.get(x, ()) if y in p) for p in parts]
-        return pa.table({"scan_id": pa.array([scan] * len(parts), pa.int64()), "members": pa.array(parts, pa.list_(pa.string())), "path": pa.array(path, pa.list_(pa.string())), "has_wildcard": pa.array(flags, pa.bool_())})
-
-    found = rows.groupBy("scan_id").applyInArrow(run, "scan_id bigint, members array<string>, path array<string>, has_wildcard boolean")
+    edges, _ = stored(edges)
+    parts = paths.strong_components(edges)
+    wild = F.coalesce(F.bool_or("is_wildcard"), F.lit(False)).alias("has_wildcard")
+    flags = paths.inner_edges(edges, parts).groupBy("scan_id", "component").agg(wild)
+    way = paths.shortest_cycles(edges, parts).groupBy("scan_id", "component").agg(F.array_sort(F.collect_list(F.struct("pos", "module_id"))).alias("path"))
+    found = parts.groupBy("scan_id", "component").agg(F.array_sort(F.collect_list("module_id")).alias("members"))
+    found = found.join(flags, ["scan_id", "component"]).join(way, ["scan_id", "component"])
     size = F.size("members")
     return found.select(
-        "scan_id", "members", "path", size.alias("size"),
+        "scan_id", "members", F.col("path.module_id").alias("path"), size.alias("size"),
         F.when(size >= 8, "critical").when(size >= 5, "high").when(size >= 3, "medium").otherwise("low").alias("severity"),
         F.when((size >= 6) | F.col("has_wildcard"), "critical").when(size >= 3, "major").otherwise("minor").alias("go_severity"),
     )
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """All pairs (scan_id, src, dst) joined by a path, by doubling; checkpointed at each step."""
-    reach = edges.select("scan_id", "src", "dst").distinct()
-    n = -1
-    for _ in range(most):
-        more = reach.alias("a").join(reach.alias("b"), (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.dst") == F.col("b.src")))
-        reach = reach.union(more.select("a.scan_id", "a.src", "b.dst")).distinct().checkpoint()
-        size = reach.count()
-        if size == n:
-            break
-        n = size
-    return reach
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """scan_id, module_id, component: the least module that is reachable both ways; the distributed form of ``cycles``."""
-    r = closure(edges.filter("src <> dst"))
-    both = r.join(r.select("scan_id", F.col("dst").alias("src"), F.col("src").alias("dst")), ["scan_id", "src", "dst"])
-    return both.groupBy("scan_id", F.col("src").alias("module_id")).agg(F.min("dst").alias("component"))
-
-
-def topological_levels(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """scan_id, module_id, level of an acyclic graph: longest way from a source. Cyclic parts, and what only they lead to, have no
-    level; a graph without any gives an empty table. Raises where a way is longer than ``most``."""
-    nodes = edges.select("scan_id", F.col("src").alias("module_id")).union(edges.select("scan_id", "dst")).distinct()
-    left, done, level = edges.select("scan_id", "src", "dst").distinct(), nodes.withColumn("level", F.lit(0)).limit(0), 0
-    while True:
-        ready = nodes.join(left.select("scan_id", F.col("dst").alias("module_id")), ["scan_id", "module_id"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
-        if ready.isEmpty():
-            return done
-        if level == most:
-            raise ValueError(f"a way of the graph is longer than {most} modules")
-        done = done.union(ready)
-        nodes = nodes.join(ready, ["scan_id", "module_id"], "left_anti").checkpoint()
-        left = left.join(ready.select("scan_id", F.col("module_id").alias("src")), ["scan_id", "src"], "left_anti").checkpoint()
-        level += 1
+strong_components, topological_levels = paths.strong_components, paths.topological_levels
 
 
 def neighbours(edges: DataFrame, node: str, most: int = 15) -> DataFrame:

@@ -45,7 +45,7 @@ def categories(modules: DataFrame) -> DataFrame:
 
 def _drawn(modules: DataFrame, fans: DataFrame, edges: DataFrame) -> DataFrame:
     """Modules with their category, fans and whether they lie on a cycle."""
-    on_cycle = graph.cycles(edges).select("scan_id", F.explode("members").alias("module_id"), F.lit(True).alias("in_cycle"))
+    on_cycle = graph.strong_components(edges).select("scan_id", "module_id", F.lit(True).alias("in_cycle"))
     rows = modules.withColumn("category_name", top_directory(F.col("file_path"))).join(categories(modules), ["scan_id", "category_name"])
     rows = rows.join(fans, ["scan_id", "module_id"]).join(on_cycle, ["scan_id", "module_id"], "left")
     return rows.withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
@@ -151,7 +151,7 @@ def radar_inputs(modules: DataFrame, edges: DataFrame, totals: DataFrame) -> Dat
         F.count_if(F.expr("src_top = dst_top")).alias("intra"),
         F.count_if(F.expr("src_top <> dst_top")).alias("inter"),
     )
-    cyclic = graph.cycles(edges).groupBy("scan_id").agg(F.sum("size").alias("cyclic"))
+    cyclic = graph.strong_components(edges).groupBy("scan_id").agg(F.count(F.lit(1)).alias("cyclic"))
     rows = modules.groupBy("scan_id").agg(F.countDistinct("module_id").alias("modules"))
     rows = rows.join(architecture.clarity(modules), "scan_id").join(counted, "scan_id", "left").join(cyclic, "scan_id", "left").join(totals, "scan_id", "left")
     rows = rows.fillna(0, ["edges", "classified", "reverse", "intra", "inter", "cyclic", "issues", "loc", "dup_rate"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import config as C
 from quarry.operators import architecture as A
 from quarry.operators import clones, complexity, graph, refactor, reports
+from quarry.operators.stage import stored
 from quarry.operators.rules import REGISTRY, Facts, run_rules
 from quarry.plans.fixtures import CORPUS_SQL, EDGES, EDGES_SQL, PATHS, PATHS_SQL, TYPES, TYPES_SQL, files
 from quarry.plans.shared_sql import ISSUES, METRICS
@@ -27,32 +28,48 @@ def query(sql: str | None = None):
     return add
 
 
-#: A graph of nations: supplier and customer nations whose keys meet a condition, so that it is not complete.
-RAW = """(SELECT s.s_nationkey AS a, c.c_nationkey AS b FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+#: A graph of nations: from a line item's supplier to its customer, a scan for all rows or for each year of the orders.
+RAW = """(SELECT s.s_nationkey AS a, c.c_nationkey AS b, year(o.o_orderdate) AS y FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
 JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey)"""
-NATION_EDGES = f"(SELECT 1 AS scan_id, a AS src, b AS dst, count(*) AS n FROM {RAW} r WHERE a <> b AND (a * 7 + b * 13) % 9 = 0 GROUP BY a, b)"
+#: Weight that an edge of the thinned graphs has at least, in means of its scan.
+TIMES, YEARLY_TIMES = 1.25, 1.5
 
 
-def nation_edges(spark, d: str, whole: bool = False) -> DataFrame:
-    """Edges between nations; ``whole`` keeps all pairs, else those of the graph that is not complete."""
+def nation_edges(spark, d: str, yearly: bool = False) -> DataFrame:
+    """Edges between nations, with their number of line items; ``yearly`` has a scan for each year."""
     def t(name):
         return spark.read.parquet(f"{d}/{name}.parquet")
 
-    li = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     li = li.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     li = li.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    scan_id = F.year("o_orderdate").cast("bigint") if yearly else F.lit(1).cast("bigint")
     raw = li.filter("s_nationkey <> c_nationkey")
-    if not whole:
-        raw = raw.filter("(s_nationkey * 7 + c_nationkey * 13) % 9 = 0")
-    raw = raw.select(F.lit(1).cast("bigint").alias("scan_id"), F.format_string("%02d", "s_nationkey").alias("src"), F.format_string("%02d", "c_nationkey").alias("dst"), F.lit("import").alias("kind"), F.lit(1).alias("count"), F.lit(False).alias("is_wildcard"))
+    raw = raw.select(scan_id.alias("scan_id"), F.format_string("%02d", "s_nationkey").alias("src"), F.format_string("%02d", "c_nationkey").alias("dst"), F.lit("import").alias("kind"), F.lit(1).alias("count"), F.lit(False).alias("is_wildcard"))
     return graph.merged_edges(raw)
 
 
+def heavy_nations(spark, d: str) -> DataFrame:
+    return graph.heavy_edges(nation_edges(spark, d), TIMES)
+
+
+def heavy_years(spark, d: str) -> DataFrame:
+    return graph.heavy_edges(nation_edges(spark, d, yearly=True), YEARLY_TIMES)
+
+
+def _heavy_sql(scan_id: str, times: float) -> str:
+    return f"""(SELECT scan_id, printf('%02d', a) AS src, printf('%02d', b) AS dst, n FROM (SELECT *, avg(n) OVER (PARTITION BY scan_id) AS mean
+FROM (SELECT {scan_id} AS scan_id, a, b, count(*) AS n FROM {RAW} r WHERE a <> b GROUP BY ALL)) WHERE n >= mean * {times})"""
+
+
 WHOLE_EDGES = f"(SELECT 1 AS scan_id, a AS src, b AS dst, count(*) AS n FROM {RAW} r WHERE a <> b GROUP BY a, b)"
 E1 = f"(SELECT scan_id, printf('%02d', src) AS src, printf('%02d', dst) AS dst, n FROM {WHOLE_EDGES} e)"
-E2 = f"(SELECT scan_id, printf('%02d', src) AS src, printf('%02d', dst) AS dst, n FROM {NATION_EDGES} e)"
+E2 = _heavy_sql("1", TIMES)
+E3 = _heavy_sql("y", YEARLY_TIMES)
 REACH = f"RECURSIVE e AS (SELECT src, dst FROM {E2}), reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst)"
-SCC = f"{REACH}, scc AS (SELECT a.src AS module_id, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"
+_REACH = "RECURSIVE e AS (SELECT scan_id, src, dst FROM {}), reach AS (SELECT * FROM e UNION SELECT r.scan_id, r.src, e.dst FROM reach r JOIN e ON e.src = r.dst AND e.scan_id = r.scan_id)"
+_SCC = "{}, scc AS (SELECT a.scan_id, a.src AS module_id, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src AND a.scan_id = b.scan_id GROUP BY ALL)"
+SCC, YEARLY_SCC = (_SCC.format(_REACH.format(e)) for e in (E2, E3))
 
 
 def modules_of(edges: DataFrame) -> DataFrame:
@@ -61,49 +78,60 @@ def modules_of(edges: DataFrame) -> DataFrame:
 
 @query(f"SELECT src, dst, n FROM {E1}")
 def q_dep_edges(spark, d):
-    return nation_edges(spark, d, whole=True).select("src", "dst", F.col("count").alias("n"))
+    return nation_edges(spark, d).select("src", "dst", F.col("count").alias("n"))
 
 
 @query(f"WITH e AS (SELECT * FROM {E1}), m AS (SELECT src AS x FROM e UNION SELECT dst FROM e) SELECT x AS module_id, (SELECT count(DISTINCT src) FROM e WHERE dst = x) AS fan_in, (SELECT count(DISTINCT dst) FROM e WHERE src = x) AS fan_out FROM m")
 def q_fan(spark, d):
-    e = nation_edges(spark, d, whole=True)
+    e = nation_edges(spark, d)
     return graph.fans(modules_of(e), e).select("module_id", "fan_in", "fan_out")
 
 
-@query(f"WITH {SCC} SELECT module_id, component FROM scc")
+@query(f"WITH {YEARLY_SCC} SELECT scan_id, module_id, component FROM scc")
 def q_scc(spark, d):
-    found = graph.cycles(nation_edges(spark, d))
-    return found.select(F.explode("members").alias("module_id"), F.element_at("members", 1).alias("component"))
+    return graph.strong_components(heavy_years(spark, d))
 
 
 @query(f"WITH {SCC} SELECT module_id, component FROM scc")
 def q_scc_closure(spark, d):
-    from quarry.plans.session import checkpoint_dir
-
-    checkpoint_dir(spark)
-    return graph.strong_components(nation_edges(spark, d)).select("module_id", "component")
+    return graph.strong_components(heavy_nations(spark, d)).drop("scan_id")
 
 
-@query(f"WITH {SCC} SELECT component, count(*) AS size, CASE WHEN count(*) >= 8 THEN 'critical' WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN count(*) >= 6 THEN 'critical' WHEN count(*) >= 3 THEN 'major' ELSE 'minor' END AS go_severity FROM scc GROUP BY component")
+@query(f"WITH {YEARLY_SCC} SELECT scan_id, component, count(*) AS size, CASE WHEN count(*) >= 8 THEN 'critical' WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN count(*) >= 6 THEN 'critical' WHEN count(*) >= 3 THEN 'major' ELSE 'minor' END AS go_severity FROM scc GROUP BY scan_id, component")
 def q_cycle_severity(spark, d):
-    found = graph.cycles(nation_edges(spark, d))
-    return found.select(F.element_at("members", 1).alias("component"), F.col("size").cast("bigint").alias("size"), "severity", "go_severity")
+    found = graph.cycles(heavy_years(spark, d))
+    return found.select("scan_id", F.element_at("members", 1).alias("component"), F.col("size").cast("bigint").alias("size"), "severity", "go_severity")
 
 
-@query(f"""WITH {SCC}, steps AS (SELECT component AS c, e.dst AS x, 1 AS k FROM scc JOIN e ON e.src = component WHERE module_id = component
-UNION SELECT s.c, e.dst, s.k + 1 FROM steps s JOIN e ON e.src = s.x WHERE s.k < 25 AND s.x <> s.c)
-SELECT c AS component, CAST(min(k) AS BIGINT) AS length FROM steps WHERE x = c GROUP BY c""")
+#: A search from every component's least node: the least depth of each node, the way back, and where it closes.
+_SEARCH = f"""{YEARLY_SCC}, i AS (SELECT e.*, s.component FROM e JOIN scc s ON s.scan_id = e.scan_id AND s.module_id = e.src JOIN scc t ON t.scan_id = e.scan_id AND t.module_id = e.dst AND t.component = s.component),
+steps AS (SELECT DISTINCT scan_id, component, component AS x, 0 AS k FROM scc UNION SELECT s.scan_id, s.component, i.dst, s.k + 1 FROM steps s JOIN i ON i.scan_id = s.scan_id AND i.component = s.component AND i.src = s.x WHERE s.k < 25),
+depth AS (SELECT scan_id, component, x, min(k) AS k FROM steps GROUP BY ALL),
+last AS (SELECT d.scan_id, d.component, min_by(x, (k, x)) AS x, min(k) AS k FROM depth d JOIN i ON i.scan_id = d.scan_id AND i.component = d.component AND i.src = d.x WHERE i.dst = d.component GROUP BY ALL)"""
+
+
+@query(f"WITH {_SEARCH} SELECT scan_id, component, CAST(k + 1 AS BIGINT) AS length FROM last")
 def q_shortest_cycle_len(spark, d):
-    return graph.cycles(nation_edges(spark, d)).select(F.element_at("members", 1).alias("component"), F.size("path").cast("bigint").alias("length"))
+    return _nation_cycles(spark, d).groupBy("scan_id", "component").agg(F.count(F.lit(1)).alias("length"))
+
+
+@query(f"""WITH {_SEARCH}, before AS (SELECT d.scan_id, d.component, d.x, min(b.x) AS p FROM depth d JOIN depth b ON b.scan_id = d.scan_id AND b.component = d.component AND b.k = d.k - 1
+JOIN i ON i.scan_id = d.scan_id AND i.component = d.component AND i.src = b.x AND i.dst = d.x GROUP BY ALL),
+way AS (SELECT * FROM last UNION ALL SELECT w.scan_id, w.component, b.p, w.k - 1 FROM way w JOIN before b ON b.scan_id = w.scan_id AND b.component = w.component AND b.x = w.x WHERE w.k > 0)
+SELECT scan_id, component, CAST(k AS INT) AS pos, x AS module_id FROM way""")
+def q_shortest_cycle(spark, d):
+    return _nation_cycles(spark, d)
+
+
+def _nation_cycles(spark, d) -> DataFrame:
+    edges, _ = stored(heavy_years(spark, d))
+    return graph.paths.shortest_cycles(edges, graph.strong_components(edges))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT p_size % 10 AS a, p_size % 10 + 1 + p_partkey % 3 AS b FROM part WHERE p_size % 10 + 1 + p_partkey % 3 < 12),
 l AS (SELECT DISTINCT a AS x, 0 AS k FROM e WHERE a NOT IN (SELECT b FROM e) UNION SELECT e.b, l.k + 1 FROM l JOIN e ON e.a = l.x)
 SELECT CAST(x AS VARCHAR) AS module_id, CAST(max(k) AS INT) AS level FROM l GROUP BY x""")
 def q_topo_level(spark, d):
-    from quarry.plans.session import checkpoint_dir
-
-    checkpoint_dir(spark)
     part = spark.read.parquet(f"{d}/part.parquet")
     a, b = F.col("p_size") % 10, F.col("p_size") % 10 + 1 + F.col("p_partkey") % 3
     e = part.filter(b < 12).select(F.lit(1).alias("scan_id"), a.cast("string").alias("src"), b.cast("string").alias("dst")).distinct()
@@ -112,7 +140,7 @@ def q_topo_level(spark, d):
 
 @query(f"SELECT side, other, n FROM (SELECT 'in' AS side, src AS other, n, row_number() OVER (ORDER BY src) AS k FROM {E1} WHERE dst = '03' UNION ALL SELECT 'out', dst, n, row_number() OVER (ORDER BY dst) FROM {E1} WHERE src = '03') WHERE k <= 15")
 def q_neighbours(spark, d):
-    return graph.neighbours(nation_edges(spark, d, whole=True), "03").select("side", "other", F.col("count").alias("n"))
+    return graph.neighbours(nation_edges(spark, d), "03").select("side", "other", F.col("count").alias("n"))
 
 
 @query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS target FROM pages),
@@ -193,7 +221,7 @@ def q_layer_go(spark, d):
 @query(f"SELECT round(count_if(a.n_regionkey <> b.n_regionkey) / count(*), 6) AS ratio FROM {WHOLE_EDGES} e JOIN nation a ON a.n_nationkey = e.src JOIN nation b ON b.n_nationkey = e.dst")
 def q_cross_layer_ratio(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet").select(F.format_string("%02d", "n_nationkey").alias("k"), "n_regionkey")
-    e = nation_edges(spark, d, whole=True)
+    e = nation_edges(spark, d)
     e = e.join(n.toDF("src", "ra"), "src").join(n.toDF("dst", "rb"), "dst")
     return e.agg(F.round(F.count_if(F.col("ra") != F.col("rb")) / F.count(F.lit(1)), 6).alias("ratio"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import config as C
 from quarry.operators import architecture, payloads
-from quarry.plans.graph_plans import E2, RAW, REACH, nation_edges
+from quarry.plans.graph_plans import RAW, REACH, heavy_nations
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -58,7 +58,7 @@ _CAT = "cat AS (SELECT dir, row_number() OVER (ORDER BY min(k)) - 1 AS category
 (SELECT count(DISTINCT src) FROM e WHERE dst = module_id) AS fan_in, (SELECT count(DISTINCT dst) FROM e WHERE src = module_id) AS fan_out,
 EXISTS (SELECT 1 FROM reach WHERE src = module_id AND dst = module_id) AS in_cycle FROM m JOIN cat USING (dir)""")
 def q_graph_nodes(spark, d):
-    return payloads.graph_nodes(_modules(spark, d), nation_edges(spark, d)).drop("scan_id")
+    return payloads.graph_nodes(_modules(spark, d), heavy_nations(spark, d)).drop("scan_id")
 
 
 @query(f"""WITH RECURSIVE raw AS (SELECT printf('%02d', a) AS src, printf('%02d', b) AS dst FROM {RAW} r), e AS (SELECT DISTINCT src, dst FROM raw WHERE src <> dst),
@@ -125,7 +125,7 @@ SELECT (SELECT count(*) FROM m) AS modules, count(*) AS edges, count(*) AS out_e
 (SELECT count(*) FROM reach WHERE src = dst) AS cyclic, (SELECT least(100.0, 40.0 + 15.0 * count(DISTINCT dir)) FROM m WHERE dir IN ({', '.join(repr(w) for w in C.CLARITY_DIRS)})) AS clarity FROM p""")
 def q_radar_inputs(spark, d):
     none = _modules(spark, d).select("scan_id").distinct().select("scan_id", F.lit(0).alias("issues"), F.lit(0).alias("loc"), F.lit(0.0).alias("dup_rate"))
-    return payloads.radar_inputs(_modules(spark, d), nation_edges(spark, d), none).drop("scan_id", "issues", "loc", "dup_rate")
+    return payloads.radar_inputs(_modules(spark, d), heavy_nations(spark, d), none).drop("scan_id", "issues", "loc", "dup_rate")
 
 
 @query()

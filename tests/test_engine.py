@@ -145,22 +145,6 @@ def test_clones_of_the_copy(spark, facts):
     assert clones.token_clones(w, 30, 6).filter("scan_id = 1").count() > 0
 
 
-def test_strong_components_agree(spark):
-    rng = random.Random(7)
-    rows = [(s, f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", "import", 1, False) for s in (1, 2, 3) for _ in range(16)]
-    e = graph.merged_edges(spark.createDataFrame(rows, "scan_id long, src string, dst string, kind string, count int, is_wildcard boolean"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    a = {(r.scan_id, m, r.members[0]) for r in graph.cycles(e).collect() for m in r.members}
-    b = {(r.scan_id, r.module_id, r.component) for r in graph.strong_components(e).collect()}
-    # a closure also puts a node alone on no cycle nowhere, and one on a cycle with its component
-    assert a == b
-    for r in graph.cycles(e).collect():
-        have = {(x.src, x.dst) for x in e.filter(F.col("scan_id") == r.scan_id).collect()}
-        assert all((x, y) in have for x, y in zip(r.path, r.path[1:] + r.path[:1], strict=True))
-
-
-
-
 def test_borders(spark):
     rows = spark.createDataFrame([(90.0,), (89.99,), (75.0,), (60.0,), (59.0,)], "s double")
     assert [r[0] for r in rows.select(scoring.grade(F.col("s"))).collect()] == ["A", "B", "B", "C", "D"]
@@ -215,21 +199,6 @@ def test_zip_and_tree(spark, tmp_path):
         unpack_zip("x.tar", str(tmp_path))
 
 
-def test_topological_levels_of_awkward_graphs(spark):
-    def levels(rows, **options):
-        edges = spark.createDataFrame(rows, "scan_id long, src string, dst string")
-        return {(r.module_id, r.level) for r in graph.topological_levels(edges, **options).collect()}
-
-    checkpoint_dir(spark)
-    assert levels([]) == set()
-    assert levels([(1, "a", "b"), (1, "b", "a")]) == set()
-    way = [(1, "a", "b"), (1, "b", "c"), (1, "a", "c"), (1, "x", "y"), (1, "y", "x")]
-    assert levels(way) == {("a", 0), ("b", 1), ("c", 2)}
-    assert levels(way, most=3) == levels(way)
-    with pytest.raises(ValueError):
-        levels(way, most=2)
-
-
 def test_entry_without_the_pipeline_subpackage():
     """The library's own modules never import the optional subpackage."""
     import subprocess
