@@ -47,23 +47,61 @@ def heavy_edges(edges: DataFrame, times: float) -> DataFrame:
     return edges.join(mean, "scan_id").filter(F.col("count") >= F.col("_mean") * times).drop("_mean")
 
 
-def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """scan_id, src, target, dst: the module whose path ends with the import's segments, or the reverse.
+def _suffixes(parts: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.slice(parts, i, F.size(parts)))
 
-    Both sides' suffixes are exploded, so this is an equi-join and not a comparison of all pairs. Of several, the
-    longest module wins, then the first by name.
+
+def resolve_imports(imports: DataFrame, modules: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """scan_id, src, target, dst, step: the module that an import (scan_id, src, target: dotted) means.
+
+    1. The module whose path ends with the import's segments, or the reverse. Both sides' suffixes are exploded, so this is
+       an equi-join; of several the longest module wins, then the first by name.
+    2. The module that declares the import's last segment, by an inverted index of ``symbols`` (scan_id, name, module_id);
+       of several the shortest, then the first.
+    3. The module whose last segment it is; of several the shortest, then the first.
+
+    Each step sees only what the ones before left. Imports without a segment, and modules and symbols that are null, match nothing.
+    """
+    def path(parts: Column) -> Column:
+        return F.array_join(parts, "/")
+
+    keys = ["scan_id", "target"]
+    wanted = imports.select(*keys).distinct().withColumn("path", F.regexp_replace("target", r"\.", "/"))
+    wanted = wanted.withColumn("parts", F.filter(F.split("path", "/"), lambda x: x != "")).filter(F.size("parts") > 0).withColumn("path", path(F.col("parts")))
+    mods = modules.select("scan_id", F.col("module_id").alias("dst")).filter("dst <> ''").distinct()
+    ends = mods.select("scan_id", "dst", F.explode(F.transform(_suffixes(F.split("dst", "/")), path)).alias("path"))
+    heads = wanted.select(*keys, F.explode(F.transform(_suffixes(F.col("parts")), path)).alias("dst"))
+    found = wanted.join(ends, ["scan_id", "path"]).select(*keys, "dst", F.lit(0).alias("way"))
+    found = found.unionByName(heads.join(mods, ["scan_id", "dst"]).select(*keys, "dst", F.lit(1).alias("way")))
+    longest = F.min(F.struct((-F.length("dst")).alias("n"), "way", "dst"))
+    found = found.groupBy(*keys).agg(longest.alias("best")).select(*keys, F.col("best.dst").alias("dst"), F.lit(1).alias("step"))
+    shortest = F.min(F.struct(F.length("dst").alias("n"), "dst"))
+    last = wanted.select(*keys, F.element_at("parts", -1).alias("name"))
+    tables = [mods.select("scan_id", F.element_at(F.split("dst", "/"), -1).alias("name"), "dst")]
+    if symbols is not None:
+        tables.insert(0, symbols.select("scan_id", "name", F.col("module_id").alias("dst")))
+    for index in tables:
+        step = 3 if index is tables[-1] else 2
+        first = index.groupBy("scan_id", "name").agg(shortest.alias("best")).select("scan_id", "name", F.col("best.dst").alias("dst"))
+        more = last.join(found, keys, "left_anti").join(first, ["scan_id", "name"]).select(*keys, "dst", F.lit(step).alias("step"))
+        found = found.unionByName(more)
+    return imports.select("scan_id", "src", "target").distinct().join(found, keys)
+
+
+def resolve_dotted(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """scan_id, target, dst: the dotted module that ends with an absolute target, else with all but its last segment.
+
+    Of several the one with most segments wins, then the first by name. What matches neither is left out.
     """
-    def suffixes(parts: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-
-    imp = imports.withColumn("path", F.regexp_replace("target", r"\.", "/")).filter("path <> ''")
-    mods = modules.select("scan_id", F.col("module_id").alias("dst")).distinct()
-    m_suf = mods.select("scan_id", "dst", F.explode(suffixes(F.split("dst", "/"))).alias("path"))
-    i_suf = imp.select("scan_id", "src", "target", F.explode(suffixes(F.split("path", "/"))).alias("dst"))
-    found = imp.join(m_suf, ["scan_id", "path"]).select("scan_id", "src", "target", "dst", F.lit(0).alias("way"))
-    found = found.unionByName(i_suf.join(mods, ["scan_id", "dst"]).select("scan_id", "src", "target", "dst", F.lit(1).alias("way")))
-    w = Window.partitionBy("scan_id", "src", "target").orderBy(F.desc(F.length("dst")), "way", "dst")
-    return found.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n", "way")
+    mods = modules.select("scan_id", F.col("module_id").alias("dst")).distinct().withColumn("parts", F.split("dst", r"\."))
+    ends = mods.select("scan_id", "dst", F.size("parts").alias("n"), F.explode(F.transform(_suffixes(F.col("parts")), lambda p: F.array_join(p, "."))).alias("name"))
+    index = ends.groupBy("scan_id", "name").agg(F.min(F.struct((-F.col("n")).alias("n"), "dst")).alias("best")).select("scan_id", "name", F.col("best.dst").alias("dst"))
+    wanted = imports.select("scan_id", "target").distinct()
+    whole = wanted.select("scan_id", "target", F.col("target").alias("name"), F.lit(0).alias("way"))
+    head = F.regexp_extract("target", r"^(.+)\.[^.]*$", 1)
+    tries = whole.unionByName(wanted.select("scan_id", "target", head.alias("name"), F.lit(1).alias("way")))
+    hits = tries.join(index, ["scan_id", "name"]).groupBy("scan_id", "target").agg(F.min_by("dst", "way").alias("dst"))
+    return hits
 
 
 def fans(modules: DataFrame, edges: DataFrame) -> DataFrame:

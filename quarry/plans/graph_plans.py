@@ -10,7 +10,8 @@ from quarry.operators import architecture as A
 from quarry.operators import clones, complexity, graph, refactor, reports
 from quarry.operators.stage import stored
 from quarry.operators.rules import REGISTRY, Facts, run_rules
-from quarry.plans.fixtures import CORPUS_SQL, EDGES, EDGES_SQL, PATHS, PATHS_SQL, TYPES, TYPES_SQL, files
+from quarry.plans import derived
+from quarry.plans.derived import CALLS_SQL, CORPUS_SQL, DOTTED_SQL, EDGES_SQL, FUNCTIONS_SQL, PATHS_SQL, TYPES_SQL, files
 from quarry.plans.shared_sql import ISSUES, METRICS
 from quarry.plans.text_plans import LINES
 
@@ -40,7 +41,7 @@ def nation_edges(spark, d: str, yearly: bool = False) -> DataFrame:
     def t(name):
         return spark.read.parquet(f"{d}/{name}.parquet")
 
-    li = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey", *["o_orderdate"] * yearly), F.col("l_orderkey") == F.col("o_orderkey"))
     li = li.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     li = li.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     scan_id = F.year("o_orderdate").cast("bigint") if yearly else F.lit(1).cast("bigint")
@@ -152,29 +153,29 @@ def q_href_edges(spark, d):
     return h.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
-_IMPORTS = [(1, "app/x.py", "services.user"), (1, "app/x.py", "models.user"), (1, "app/y.py", "requests"), (1, "app/y.py", "lib.app.infra.db"), (1, "app/y.py", "user")]
+#: Pages as modules by site, language and number, and a module for each language; their links and their own numbers are imports,
+#: the words of their headings symbols.
+_SITE = r"https?://(?:www\.|blog\.|m\.)?([a-z0-9-]+)\.[^/]*/([a-z]+)/([0-9]+)"
+_PAGES_SQL = f"(SELECT html, regexp_extract(url, '{_SITE}', 1) || '/' || regexp_extract(url, '{_SITE}', 2) || '/' || regexp_extract(url, '{_SITE}', 3) AS module_id, regexp_extract(url, '{_SITE}', 2) AS lang, regexp_extract(url, '{_SITE}', 3) AS k FROM pages)"
 
 
-def _imports_sql() -> str:
-    from quarry.plans.fixtures import values
-
-    return values(_IMPORTS, "scan_id, src, target")
-
-
-@query(f"""WITH m AS (SELECT scan_id, regexp_replace(file_path, '\\.[a-z]+$', '') AS dst FROM {PATHS_SQL}), i AS (SELECT *, replace(target, '.', '/') AS path FROM {_imports_sql()}),
-c AS (SELECT i.src, i.target, m.dst, row_number() OVER (PARTITION BY i.src, i.target ORDER BY length(m.dst) DESC, m.dst) AS n FROM i JOIN m ON m.scan_id = i.scan_id
-AND (m.dst = i.path OR ends_with(m.dst, '/' || i.path) OR ends_with(i.path, '/' || m.dst))) SELECT src, target, dst FROM c WHERE n = 1""")
+@query(f"""WITH p AS (SELECT * FROM {_PAGES_SQL}), m AS (SELECT module_id AS dst FROM p UNION SELECT 'site/' || lang FROM p),
+sym AS (SELECT DISTINCT module_id AS dst, unnest(string_split(regexp_extract(html, '<h1[^>]*>([^<]*)<', 1), ' ')) AS name FROM p),
+i AS (SELECT DISTINCT 'index' AS src, lang || '.' || k AS target FROM p UNION SELECT module_id, lang || '.' || unnest(regexp_extract_all(html, 'href="/([^".]+)"', 1)) FROM p),
+w AS (SELECT DISTINCT target, list_filter(string_split(replace(target, '.', '/'), '/'), lambda x: x <> '') AS parts FROM i),
+a AS (SELECT target, min_by(dst, (-length(dst), dst)) AS dst, 1 AS step FROM w JOIN m ON m.dst = array_to_string(parts, '/') OR ends_with(m.dst, '/' || array_to_string(parts, '/')) OR ends_with(array_to_string(parts, '/'), '/' || m.dst) GROUP BY target),
+b AS (SELECT target, min_by(dst, (length(dst), dst)) AS dst, 2 AS step FROM w JOIN sym ON name = parts[-1] WHERE target NOT IN (SELECT target FROM a) GROUP BY target),
+c AS (SELECT target, min_by(dst, (length(dst), dst)) AS dst, 3 AS step FROM w JOIN m ON string_split(m.dst, '/')[-1] = parts[-1] WHERE target NOT IN (SELECT target FROM a UNION SELECT target FROM b) GROUP BY target)
+SELECT src, target, dst, step FROM i JOIN (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) USING (target)""")
 def q_import_suffix(spark, d):
-    mods = spark.createDataFrame(PATHS, "scan_id bigint, file_path string").select("scan_id", F.regexp_replace("file_path", r"\.[a-z]+$", "").alias("module_id"))
-    return graph.resolve_imports(spark.createDataFrame(_IMPORTS, "scan_id bigint, src string, target string"), mods).select("src", "target", "dst")
-
-
-def _modules(spark) -> DataFrame:
-    return spark.createDataFrame(PATHS, "scan_id bigint, file_path string")
-
-
-def _edges(spark) -> DataFrame:
-    return spark.createDataFrame(EDGES, "scan_id bigint, src string, dst string")
+    part = [F.regexp_extract("url", _SITE, i) for i in (1, 2, 3)]
+    p = spark.read.parquet(f"{d}/pages.parquet").select(F.lit(1).alias("scan_id"), "html", F.concat_ws("/", *part).alias("module_id"), part[1].alias("lang"), part[2].alias("k"))
+    mods = p.select("scan_id", "module_id").union(p.select("scan_id", F.concat(F.lit("site/"), "lang"))).distinct()
+    heading = F.regexp_extract("html", "<h1[^>]*>([^<]*)<", 1)
+    symbols = p.select("scan_id", "module_id", F.explode(F.split(heading, " ")).alias("name")).distinct()
+    links = p.select("scan_id", F.col("module_id").alias("src"), "lang", F.explode(F.regexp_extract_all("html", F.lit('href="/([^".]+)"'), F.lit(1))).alias("x"))
+    imports = links.unionByName(p.select("scan_id", F.lit("index").alias("src"), "lang", F.col("k").alias("x")))
+    return graph.resolve_imports(imports.select("scan_id", "src", F.concat_ws(".", "lang", "x").alias("target")), mods, symbols).drop("scan_id")
 
 
 _WORDS = ", ".join(f"('{w}', '{name}', {i}, {rank if rank is not None else 'NULL'})" for i, (name, words, rank) in enumerate(C.LAYERS) for w in words.split())
@@ -186,20 +187,17 @@ SEVERITY = "CASE WHEN sl <> dl AND sr > dr THEN CASE WHEN sl IN ('repository', '
 
 @query(f"SELECT scan_id, file_path, layer FROM {FILE_LAYERS}")
 def q_layer_assign(spark, d):
-    return A.file_layers(_modules(spark)).select("scan_id", "file_path", "layer")
+    return A.file_layers(derived.modules(spark, d)).select("scan_id", "file_path", "layer")
 
 
 @query(f"SELECT src, sl AS src_layer, dst, dl AS dst_layer, {SEVERITY} AS severity FROM {LAYERED} WHERE {SEVERITY} IS NOT NULL")
 def q_layer_violations(spark, d):
-    return A.layer_violations(_edges(spark), A.file_layers(_modules(spark))).drop("scan_id", "kind")
+    return A.layer_violations(derived.edges(spark, d), A.file_layers(derived.modules(spark, d))).drop("scan_id", "kind")
 
 
 @query(f"SELECT e.scan_id, count(*) AS total_edges, count(x.sl) AS classified_edges, count(x.s) AS violation_count, CAST(count(*) FILTER (x.s = 'error') AS BIGINT) AS errors, CAST(count(*) FILTER (x.s = 'warning') AS BIGINT) AS warnings, round(count(x.s) / count(*), 3) AS violation_ratio FROM {EDGES_SQL} e LEFT JOIN (SELECT *, {SEVERITY} AS s FROM {LAYERED}) x ON x.scan_id = e.scan_id AND x.src = e.src AND x.dst = e.dst GROUP BY e.scan_id")
 def q_layer_summary(spark, d):
-    return A.violation_summary(_edges(spark), A.file_layers(_modules(spark)))
-
-
-_GO = [(1, "shop.utils.text", "shop.services.order", "import"), (1, "shop.api.users", "shop.services.users", "import"), (1, "shop.models.a", "shop.engines.b", "import"), (1, "shop.models.a", "shop.api.b", "inherit"), (1, "x.y", "shop.api.b", "import")]
+    return A.violation_summary(derived.edges(spark, d), A.file_layers(derived.modules(spark, d)))
 
 
 def _go_layer(col: str, value: str) -> str:
@@ -207,15 +205,9 @@ def _go_layer(col: str, value: str) -> str:
     return f"CASE {cases} END"
 
 
-def _go_sql() -> str:
-    from quarry.plans.fixtures import values
-
-    return values(_GO, "scan_id, src, dst, kind")
-
-
-@query(f"SELECT src, {_go_layer('src', 'name')} AS src_layer, dst, {_go_layer('dst', 'name')} AS dst_layer FROM {_go_sql()} WHERE kind = 'import' AND {_go_layer('src', 'rank')} > {_go_layer('dst', 'rank')}")
+@query(f"SELECT scan_id, src, {_go_layer('src', 'name')} AS src_layer, dst, {_go_layer('dst', 'name')} AS dst_layer FROM {DOTTED_SQL} WHERE kind = 'import' AND {_go_layer('src', 'rank')} > {_go_layer('dst', 'rank')}")
 def q_layer_go(spark, d):
-    return A.dotted_violations(spark.createDataFrame(_GO, "scan_id bigint, src string, dst string, kind string")).drop("scan_id", "severity")
+    return A.dotted_violations(derived.dotted_edges(spark, d)).drop("severity")
 
 
 @query(f"SELECT round(count_if(a.n_regionkey <> b.n_regionkey) / count(*), 6) AS ratio FROM {WHOLE_EDGES} e JOIN nation a ON a.n_nationkey = e.src JOIN nation b ON b.n_nationkey = e.dst")
@@ -229,6 +221,7 @@ def q_cross_layer_ratio(spark, d):
 @query(f"""WITH h AS (SELECT scan_id, list(DISTINCT layer) AS l, count_if(layer = 'event') AS ev FROM {HITS} GROUP BY scan_id),
 t AS (SELECT scan_id, list(DISTINCT string_split(lower(file_path), '/')[1]) AS tops FROM {PATHS_SQL} GROUP BY scan_id),
 b AS (SELECT t.scan_id, coalesce(l, []) AS l, coalesce(ev, 0) AS ev, tops, len(list_intersect(tops, ['cmd', 'internal', 'pkg'])) AS go FROM t LEFT JOIN h USING (scan_id)),
+ms AS (SELECT scan_id, count(DISTINCT p[2]) AS services FROM (SELECT scan_id, string_split(lower(file_path), '/') AS p FROM {PATHS_SQL}) WHERE len(p) > 2 AND p[1] IN ('services', 'microservices', 'apps') GROUP BY scan_id),
 c AS (SELECT scan_id, 'three_tier' AS pattern, CASE WHEN len(list_intersect(l, ['controller', 'service', 'repository'])) = 3 THEN 0.9 END AS confidence FROM b
 UNION ALL SELECT scan_id, 'mvc', CASE WHEN len(list_intersect(l, ['domain', 'view', 'controller'])) / 3 >= 0.66 THEN len(list_intersect(l, ['domain', 'view', 'controller'])) / 3 * 0.85 END FROM b
 UNION ALL SELECT scan_id, 'mvvm', CASE WHEN len(list_intersect(l, ['view', 'viewmodel'])) = 2 THEN 0.8 END FROM b
@@ -236,15 +229,12 @@ UNION ALL SELECT scan_id, 'ddd', CASE WHEN len(list_intersect(l, ['domain', 'ser
 UNION ALL SELECT scan_id, 'clean', CASE WHEN len(list_intersect(l, ['domain', 'service', 'infra'])) = 3 THEN 0.75 END FROM b
 UNION ALL SELECT scan_id, 'cqrs', CASE WHEN len(list_intersect(l, ['command', 'query'])) = 2 THEN 0.85 END FROM b
 UNION ALL SELECT scan_id, 'event_driven', CASE WHEN ev > 0 THEN 0.3 + 0.1 * least(7, ev) END FROM b
+UNION ALL SELECT scan_id, 'microservice', CASE WHEN services >= 2 THEN least(1.0, 0.4 + 0.1 * services) END FROM ms
 UNION ALL SELECT scan_id, 'go_layout', CASE WHEN go >= 2 THEN 0.4 + 0.2 * go END FROM b),
 k AS (SELECT * FROM c WHERE confidence IS NOT NULL UNION ALL SELECT scan_id, 'monolith', 0.5 FROM b WHERE scan_id NOT IN (SELECT scan_id FROM c WHERE confidence IS NOT NULL))
 SELECT scan_id, pattern, round(least(confidence, 1.0), 4) AS confidence FROM k""")
 def q_arch_patterns(spark, d):
-    return A.arch_patterns(_modules(spark)).drop("place")
-
-
-def _types(spark) -> DataFrame:
-    return spark.createDataFrame(TYPES, "scan_id bigint, module_id string, name string, kind string, methods array<string>, parents array<string>")
+    return A.arch_patterns(derived.modules(spark, d)).drop("place")
 
 
 _M = "len(list_filter(methods, lambda m: regexp_matches(m, '{}'))) > 0"
@@ -257,23 +247,26 @@ UNION ALL SELECT module_id, name, 'repository', 0.8 + 0.03 * h FROM (SELECT *, l
 UNION ALL SELECT module_id, name, 'observer', 0.75 FROM t WHERE {_M.format('^(register|addListener|addObserver|subscribe|on_)')} AND {_M.format('^(notify|fire|publish|emit)')}
 UNION ALL SELECT module_id, name, 'strategy', 0.65 FROM t WHERE kind = 'interface' AND {_M.format('^(execute|apply|run|handle)$')}""")
 def q_design_patterns(spark, d):
-    return A.design_patterns(_types(spark)).drop("scan_id")
+    return A.design_patterns(derived.types(spark, d)).drop("scan_id")
+
+
+_NOISE = " ".join(f"WHEN ends_with(name, '{x}') THEN '{x}'" for x in C.NOISE_SUFFIXES)
 
 
-@query(f"SELECT 'Helper' AS suffix, count(*) AS n FROM {TYPES_SQL} WHERE kind = 'class' AND ends_with(name, 'Helper') HAVING count(*) >= 8")
+@query(f"SELECT suffix, count(*) AS n FROM (SELECT CASE {_NOISE} END AS suffix FROM {TYPES_SQL} WHERE kind = 'class') WHERE suffix IS NOT NULL GROUP BY suffix HAVING count(*) >= 8")
 def q_naming_noise(spark, d):
-    return A.naming_noise(_types(spark)).drop("scan_id")
+    return A.naming_noise(derived.types(spark, d)).drop("scan_id")
 
 
 @query(f"WITH t AS (SELECT * FROM {TYPES_SQL}), p AS (SELECT DISTINCT module_id, unnest(parents) AS parent FROM t) SELECT name, (SELECT count(*) FROM p WHERE parent = name) AS n FROM t WHERE kind = 'interface' AND (SELECT count(*) FROM p WHERE parent = name) <= 1")
 def q_abstract_few_impl(spark, d):
-    t = _types(spark)
+    t = derived.types(spark, d)
     return A.few_implementations(t.filter("kind = 'interface'"), t.select("scan_id", F.col("module_id").alias("src"), F.explode("parents").alias("dst"))).drop("scan_id")
 
 
 @query(f"SELECT module_id AS src, len(parents) AS n FROM {TYPES_SQL} WHERE len(parents) >= 4")
 def q_deep_inherit(spark, d):
-    return A.many_parents(_types(spark).select("scan_id", F.col("module_id").alias("src"), F.explode("parents").alias("dst"))).drop("scan_id")
+    return A.many_parents(derived.types(spark, d).select("scan_id", F.col("module_id").alias("src"), F.explode("parents").alias("dst"))).drop("scan_id")
 
 
 MODULES = "(SELECT o_custkey AS module_id, count(*) * 40 AS loc, CAST(max(extract('month' FROM o_orderdate)) + 16 AS BIGINT) AS methods, count(DISTINCT o_orderstatus) * 8 AS fan_in, count(DISTINCT o_orderpriority) * 3 AS fan_out FROM orders GROUP BY o_custkey)"
@@ -329,7 +322,7 @@ def q_radar_go(spark, d):
 
 @query(f"SELECT scan_id, CASE WHEN hits = 0 AND tops <= 1 THEN 50.0 ELSE least(100.0, 40.0 + 15.0 * hits) END AS clarity FROM (SELECT p.scan_id, count(DISTINCT string_split(lower(file_path), '/')[1]) AS tops, (SELECT count(DISTINCT w) FROM (SELECT unnest(string_split(lower(q.file_path), '/')[1:-2]) AS w FROM {PATHS_SQL} q WHERE q.scan_id = p.scan_id) WHERE w IN ({', '.join(repr(w) for w in C.CLARITY_DIRS)})) AS hits FROM {PATHS_SQL} p GROUP BY p.scan_id)")
 def q_clarity(spark, d):
-    return A.clarity(_modules(spark))
+    return A.clarity(derived.modules(spark, d))
 
 
 _PARTS = "(SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS p, length(html) AS value, page_id % 7 AS color FROM pages)"
@@ -347,25 +340,11 @@ def q_treemap_go(spark, d):
     return q_hierarchy(spark, d).filter("depth = 1").orderBy(F.desc("value"), "node").limit(20).select("node", "value", "color")
 
 
-_FUNCS = [(1, "a.py", "f", "f"), (1, "a.py", "g", "g"), (1, "b.py", "f", "f"), (1, "b.py", "only", "only"), (1, "c.py", "h", "K.h")]
-_CALLS = [(1, "a.py", "g", "f"), (1, "a.py", "f", "only"), (1, "c.py", "K.h", "f"), (1, "b.py", "only", "only"), (1, "a.py", "g", "h"), (1, "a.py", "g", "f")]
-
-
-def _calls_sql() -> tuple[str, str]:
-    from quarry.plans.fixtures import values
-
-    return values(_FUNCS, "scan_id, rel_path, name, qname"), values(_CALLS, "scan_id, rel_path, caller, callee")
-
-
-_F, _C = _calls_sql()
-
-
-@query(f"""WITH f AS (SELECT * FROM {_F}), c AS (SELECT DISTINCT * FROM {_C}), u AS (SELECT name FROM f GROUP BY name HAVING count(*) = 1),
+@query(f"""WITH f AS (SELECT * FROM {FUNCTIONS_SQL}), c AS (SELECT DISTINCT * FROM {CALLS_SQL}), u AS (SELECT name FROM f GROUP BY name HAVING count(*) = 1),
 r AS (SELECT c.*, coalesce(l.qname, g.qname) AS target, coalesce(l.rel_path, g.rel_path) AS target_path FROM c LEFT JOIN f l ON l.rel_path = c.rel_path AND l.name = c.callee LEFT JOIN (SELECT f.* FROM f JOIN u USING (name)) g ON g.name = c.callee)
 SELECT DISTINCT rel_path, caller, target_path, target FROM r WHERE target IS NOT NULL AND NOT (target = caller AND target_path = rel_path)""")
 def q_call_graph(spark, d):
-    f = spark.createDataFrame(_FUNCS, "scan_id bigint, rel_path string, name string, qname string")
-    return graph.call_links(f, spark.createDataFrame(_CALLS, "scan_id bigint, rel_path string, caller string, callee string")).drop("scan_id")
+    return graph.call_links(derived.functions(spark, d), derived.calls(spark, d)).drop("scan_id")
 
 
 def _metric_rows(spark, d) -> DataFrame:
@@ -405,12 +384,10 @@ def q_refactor_merge(spark, d):
     return refactor.merged(s, s).select("id", "category", "priority")
 
 
-@query(f"SELECT sl AS src_layer, dl AS dst_layer, substring(md5('layer|' || sl || '|' || dl), 1, 8) AS id, CASE WHEN bool_or(s = 'error') THEN 'high' ELSE 'medium' END AS impact FROM (SELECT *, {SEVERITY} AS s FROM {LAYERED}) WHERE s IS NOT NULL GROUP BY sl, dl")
+@query(f"SELECT scan_id, substring(md5('layer|' || sl || '|' || dl), 1, 8) AS id, CASE WHEN bool_or(s = 'error') THEN 'high' ELSE 'medium' END AS impact FROM (SELECT *, {SEVERITY} AS s FROM {LAYERED}) WHERE s IS NOT NULL GROUP BY scan_id, sl, dl")
 def q_refactor_layers(spark, d):
-    v = A.layer_violations(_edges(spark), A.file_layers(_modules(spark)))
-    s = refactor.layer_suggestions(v).select("id", "impact")
-    keys = v.select("src_layer", "dst_layer").distinct().withColumn("id", refactor.suggestion_id(F.lit("layer"), F.col("src_layer"), F.col("dst_layer")))
-    return keys.join(s, "id")
+    v = A.layer_violations(derived.edges(spark, d), A.file_layers(derived.modules(spark, d)))
+    return refactor.layer_suggestions(v).select("scan_id", "id", "impact")
 
 
 @query(f"SELECT category, severity, count(*) AS n FROM {ISSUES} i GROUP BY category, severity")
@@ -425,14 +402,14 @@ def q_violations_by_kind(spark, d):
 def q_snippet_context(spark, d):
     from quarry.operators.lines import line_array, lines
 
-    long = lines(files(spark), "text").filter(F.length("raw") > 60)
+    long = lines(files(spark, d), "text").filter(F.length("raw") > 60)
     lo = F.greatest(F.lit(1), F.col("line_no") - 1)
     return long.select("rel_path", F.col("line_no").alias("line"), F.array_join(F.slice(line_array(F.col("text")), lo, F.col("line_no") + 2 - lo), "\n").alias("snippet"))
 
 
 @query(f"SELECT rel_path, regexp_replace(regexp_replace(regexp_replace(rel_path, '^.*src/(main|test)/java/', ''), '\\.[A-Za-z0-9]+$', ''), '/', '.', 'g') AS module_id FROM {CORPUS_SQL} WHERE language <> 'config'")
 def q_module_ids(spark, d):
-    return files(spark).filter("language <> 'config'").select("rel_path", graph.dotted_id(F.col("rel_path")).alias("module_id"))
+    return files(spark, d).filter("language <> 'config'").select("rel_path", graph.dotted_id(F.col("rel_path")).alias("module_id"))
 
 
 # ---- parsed code: no SQL form ----
@@ -440,37 +417,37 @@ def q_module_ids(spark, d):
 
 @query()
 def q_py_functions(spark, d):
-    return Facts(files(spark)).nodes.filter("kind in ('FunctionDef', 'AsyncFunctionDef', 'ClassDef')").select("scan_id", "rel_path", "kind", "qname", "line", "end_line", "params", "has_doc")
+    return Facts(files(spark, d)).nodes.filter("kind in ('FunctionDef', 'AsyncFunctionDef', 'ClassDef')").select("scan_id", "rel_path", "kind", "qname", "line", "end_line", "params", "has_doc")
 
 
 @query()
 def q_py_imports(spark, d):
-    return Facts(files(spark)).nodes.filter("kind in ('Import', 'ImportFrom')").select("scan_id", "rel_path", "line", F.col("name").alias("module"), F.col("params").alias("names"))
+    return Facts(files(spark, d)).nodes.filter("kind in ('Import', 'ImportFrom')").select("scan_id", "rel_path", "line", F.col("name").alias("module"), F.col("params").alias("names"))
 
 
 @query()
 def q_py_tokens(spark, d):
-    return Facts(files(spark)).py_tokens.groupBy("scan_id", "rel_path", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return Facts(files(spark, d)).py_tokens.groupBy("scan_id", "rel_path", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def q_py_metrics(spark, d):
-    return complexity.python_metrics(Facts(files(spark)).nodes)
+    return complexity.python_metrics(Facts(files(spark, d)).nodes)
 
 
 @query()
 def q_java_metrics(spark, d):
-    return complexity.java_metrics(Facts(files(spark)).java)
+    return complexity.java_metrics(Facts(files(spark, d)).java)
 
 
 @query()
 def q_java_structure(spark, d):
-    return Facts(files(spark)).java.select("scan_id", "rel_path", "kind", "name", "owner", "line", "end_line", "modifiers", "params")
+    return Facts(files(spark, d)).java.select("scan_id", "rel_path", "kind", "name", "owner", "line", "end_line", "modifiers", "params")
 
 
 def _all(language: str):
     def run(spark, d):
-        return run_rules(Facts(files(spark)), [r.code for r in REGISTRY.values() if r.language == language])
+        return run_rules(Facts(files(spark, d)), [r.code for r in REGISTRY.values() if r.language == language])
 
     return run
 
@@ -480,29 +457,29 @@ Q["q_py_rules"], Q["q_java_rules"], Q["q_config_rules"] = _all("python"), _all("
 
 @query()
 def q_py_token_clones(spark, d):
-    w = clones.windows(clones.normalised(Facts(files(spark)).py_tokens))
+    w = clones.windows(clones.normalised(Facts(files(spark, d)).py_tokens))
     return clones.token_clones(w)
 
 
 @query()
 def q_py_ast_clones(spark, d):
-    return clones.shape_clones(Facts(files(spark)).nodes.filter("skeleton is not null"))
+    return clones.shape_clones(Facts(files(spark, d)).nodes.filter("skeleton is not null"))
 
 
 @query()
 def q_java_ast_clones(spark, d):
-    f = Facts(files(spark)).java.filter("kind = 'method'")
+    f = Facts(files(spark, d)).java.filter("kind = 'method'")
     return clones.shape_clones(f.withColumn("skeleton", F.sha2("shape", 256)))
 
 
 @query()
 def q_merged_clones(spark, d):
-    f = Facts(files(spark))
+    f = Facts(files(spark, d))
     return clones.merged_clones(clones.token_clones(clones.windows(clones.normalised(f.py_tokens))), clones.shape_clones(f.nodes))
 
 
-def uml_classes(spark) -> DataFrame:
-    n = Facts(files(spark)).nodes
+def uml_classes(spark, d) -> DataFrame:
+    n = Facts(files(spark, d)).nodes
     c = n.filter("kind = 'ClassDef'").select("scan_id", "rel_path", F.col("node_id").alias("class_id"), "name", F.col("bases").alias("parents"))
     m = n.filter("kind in ('FunctionDef', 'AsyncFunctionDef') and class_id is not null").groupBy("scan_id", "rel_path", "class_id").agg(F.array_sort(F.collect_set("name")).alias("methods"))
     s = n.filter("kind = 'Attribute' and field = 'targets' and qname = 'self' and class_id is not null").groupBy("scan_id", "rel_path", "class_id").agg(F.array_sort(F.collect_set("name")).alias("fields"))
@@ -512,17 +489,17 @@ def uml_classes(spark) -> DataFrame:
 
 @query()
 def q_uml(spark, d):
-    return uml_classes(spark).drop("class_id")
+    return uml_classes(spark, d).drop("class_id")
 
 
 @query()
 def q_mermaid(spark, d):
-    return reports.mermaid(uml_classes(spark))
+    return reports.mermaid(uml_classes(spark, d))
 
 
 @query()
 def q_py_call_graph(spark, d):
-    n = Facts(files(spark)).nodes
+    n = Facts(files(spark, d)).nodes
     f = n.filter("kind in ('FunctionDef', 'AsyncFunctionDef')")
     calls = n.filter("kind = 'Call' and name is not null and size(funcs) > 0").select("scan_id", "rel_path", F.element_at("funcs", -1).alias("node_id"), F.col("name").alias("callee"))
     calls = calls.join(f.select("scan_id", "rel_path", "node_id", F.col("qname").alias("caller")), ["scan_id", "rel_path", "node_id"])
@@ -533,21 +510,35 @@ def q_py_call_graph(spark, d):
 def q_full_scan(spark, d):
     from quarry.plans.scan import scan
 
-    return scan(files(spark)).totals
+    return scan(files(spark, d)).totals
 
 
 @query()
 def q_arch_edges(spark, d):
     from quarry.plans.scan import architecture_facts
 
-    return architecture_facts(files(spark))["edges"]
+    return architecture_facts(files(spark, d))["edges"]
 
 
 @query()
 def q_arch_symbols(spark, d):
     from quarry.plans.scan import architecture_facts
 
-    return architecture_facts(files(spark))["symbols"]
+    return architecture_facts(files(spark, d))["symbols"]
+
+
+@query()
+def q_arch_calls(spark, d):
+    from quarry.plans.scan import architecture_facts
+
+    return architecture_facts(files(spark, d))["calls"]
+
+
+@query()
+def q_module_edges(spark, d):
+    from quarry.plans.scan import dependency_graph
+
+    return dependency_graph(files(spark, d))["edges"]
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

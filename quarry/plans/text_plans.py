@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import clones, scoring
 from quarry.operators.lines import lines, loc
 from quarry.operators.rules import BAD_COMMA, BAD_OPERATOR, Facts, run_rules
-from quarry.plans.fixtures import CORPUS_SQL, files
+from quarry.plans.derived import CORPUS_SQL, TREE_SQL, files, tree
 from quarry.sources.corpus import language_of, skipped
 
 ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -56,21 +56,23 @@ def q_line_length(spark, d):
 
 @query(f"SELECT rel_path, CAST(count(*) AS BIGINT) AS total_lines, CAST(count_if(regexp_matches(raw, '\\S') AND NOT regexp_matches(raw, '^\\s*#')) AS BIGINT) AS loc FROM {LINES} WHERE language = 'python' GROUP BY rel_path")
 def q_loc_python(spark, d):
-    return loc(files(spark)).filter("language = 'python'").select("rel_path", F.col("total_lines").cast("bigint").alias("total_lines"), F.col("loc").cast("bigint").alias("loc"))
+    return loc(files(spark, d)).filter("language = 'python'").select("rel_path", F.col("total_lines").cast("bigint").alias("total_lines"), F.col("loc").cast("bigint").alias("loc"))
 
 
 @query(f"SELECT rel_path, CAST(count_if(regexp_matches(raw, '\\S')) AS BIGINT) AS loc FROM {LINES} WHERE language = 'config' GROUP BY rel_path")
 def q_loc_config(spark, d):
-    return loc(files(spark)).filter("language = 'config'").select("rel_path", F.col("loc").cast("bigint").alias("loc"))
+    return loc(files(spark, d)).filter("language = 'config'").select("rel_path", F.col("loc").cast("bigint").alias("loc"))
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT rel_path, line_no, trim(raw, chr(9) || ' ') AS x FROM {LINES} WHERE language = 'java'),
-s AS (SELECT rel_path, 0 AS line_no, false AS inside, 0 AS hit FROM (SELECT DISTINCT rel_path FROM l)
-UNION ALL SELECT s.rel_path, l.line_no, (s.inside OR starts_with(l.x, '/*')) AND NOT contains(l.x, '*/'),
-CASE WHEN s.inside OR starts_with(l.x, '/*') OR starts_with(l.x, '//') OR l.x = '' THEN 0 ELSE 1 END FROM s JOIN l ON l.rel_path = s.rel_path AND l.line_no = s.line_no + 1)
-SELECT rel_path, CAST(sum(hit) AS BIGINT) AS loc FROM s GROUP BY rel_path""")
+#: A fold over a file's lines: whether a block comment is open, and the lines of code so far.
+_JAVA_FOLD = """list_reduce(list_prepend({'open': false, 'n': 0, 'x': ''}, list_transform(ls, lambda l: {'open': false, 'n': 0, 'x': trim(l, chr(9) || ' ')})), lambda s, e:
+{'open': (s.open OR starts_with(e.x, '/*')) AND NOT contains(e.x, '*/'), 'n': s.n + CASE WHEN s.open OR starts_with(e.x, '/*') OR starts_with(e.x, '//') OR e.x = '' THEN 0 ELSE 1 END, 'x': ''})"""
+
+
+@query(f"""WITH l AS (SELECT rel_path, list(raw ORDER BY line_no) AS ls FROM {LINES} WHERE language = 'java' GROUP BY rel_path)
+SELECT rel_path, CAST(({_JAVA_FOLD}).n AS BIGINT) AS loc FROM l""")
 def q_loc_java(spark, d):
-    return loc(files(spark)).filter("language = 'java'").select("rel_path", F.col("loc").cast("bigint").alias("loc"))
+    return loc(files(spark, d)).filter("language = 'java'").select("rel_path", F.col("loc").cast("bigint").alias("loc"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS file_hash FROM documents")
@@ -81,7 +83,7 @@ def q_file_hash(spark, d):
 @query(f"""SELECT rel_path, CASE WHEN ends_with(rel_path, '.py') THEN 'python' WHEN ends_with(rel_path, '.java') THEN 'java'
 WHEN regexp_matches(rel_path, '\\.(json|ya?ml|toml|ini|cfg|conf|properties|env)$') THEN 'config' END AS language FROM {CORPUS_SQL}""")
 def q_language_detect(spark, d):
-    return files(spark).select("rel_path", language_of(F.col("rel_path")).alias("language"))
+    return files(spark, d).select("rel_path", language_of(F.col("rel_path")).alias("language"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE lang IN ('en', 'de') AND n_chars <= 3000 ORDER BY doc_id LIMIT 5000")
@@ -89,15 +91,14 @@ def q_ext_filter_size(spark, d):
     return docs(spark, d).filter("lang in ('en', 'de') and n_chars <= 3000").orderBy("doc_id").limit(5000).select("doc_id", "n_chars")
 
 
-@query("SELECT p.path, regexp_matches(p.path, '(^|/)(node_modules|build|venv|\\.[^/]*)/') AS skipped FROM (VALUES ('a/node_modules/x.py'), ('a/b.py'), ('.git/c.py'), ('build/d.py'), ('x/build.py'), ('.env')) p(path)")
+@query(f"SELECT path, regexp_matches(path, '(^|/)(node_modules|build|venv|\\.[^/]*)/') AS skipped FROM {TREE_SQL}")
 def q_walk_skip(spark, d):
-    rows = spark.createDataFrame([(p,) for p in ("a/node_modules/x.py", "a/b.py", ".git/c.py", "build/d.py", "x/build.py", ".env")], "path string")
-    return rows.select("path", skipped(F.col("path")).alias("skipped"))
+    return tree(spark, d).select("path", skipped(F.col("path")).alias("skipped"))
 
 
 def _rule(*codes: str):
     def run(spark, d):
-        return run_rules(Facts(files(spark)), list(codes)).select("rel_path", "line", "col", "rule_code", "severity", "code_snippet")
+        return run_rules(Facts(files(spark, d)), list(codes)).select("rel_path", "line", "col", "rule_code", "severity", "code_snippet")
 
     return run
 
