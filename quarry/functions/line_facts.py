@@ -24,10 +24,11 @@ PY_DEF = r"\s*def\s+([A-Za-z_]\w*)\s*\("
 PY_ASSIGN = r"([A-Za-z_]\w*)\s*=\s*[^=]"
 CALL = r"([A-Za-z_]\w*)\s*\("
 PY_NO_CALLS = (
-    "if elif else for while with in return yield and or not is lambda def class from import as pass raise try except finally "
-    "True False None print len str int float list dict set tuple bool type isinstance issubclass range enumerate map filter "
-    "zip sorted open input super self cls"
-)
+    "if", "elif", "else", "for", "while", "with", "in", "return", "yield", "and", "or", "not", "is", "lambda", "def", "class",
+    "from", "import", "as", "pass", "raise", "try", "except", "finally", "True", "False", "None", "print", "len", "str", "int",
+    "float", "list", "dict", "set", "tuple", "bool", "type", "isinstance", "issubclass", "range", "enumerate", "map", "filter",
+    "zip", "sorted", "open", "input", "super", "self", "cls",
+)
 JAVA_IMPORT = r"\s*import\s+(?:static\s+)?([\w.*]+)\s*;"
 JAVA_PACKAGE = r"\s*package\s+[\w.]+\s*;"
 JAVA_TYPE = (
@@ -39,15 +40,16 @@ JAVA_METHOD = (
     r"([A-Za-z_][\w<>\[\],\s.]*?)\s+([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?\s*\{"
 )
 JAVA_NO_CALLS = (
-    "if for while switch return throw new this super true false null void int long short byte double float boolean char String "
-    "Object try catch finally synchronized public private protected static final abstract class interface enum record package "
-    "import extends implements"
-)
+    "if", "for", "while", "switch", "return", "throw", "new", "this", "super", "true", "false", "null", "void", "int", "long",
+    "short", "byte", "double", "float", "boolean", "char", "String", "Object", "try", "catch", "finally", "synchronized", "public",
+    "private", "protected", "static", "final", "abstract", "class", "interface", "enum", "record", "package", "import", "extends",
+    "implements",
+)
 
 _PY = {k: re.compile(p, re.A) for k, p in {"import": PY_IMPORT, "from": PY_FROM, "class": PY_CLASS, "def": PY_DEF, "assign": PY_ASSIGN}.items()}
 _JAVA = {k: re.compile(p, re.A) for k, p in {"import": JAVA_IMPORT, "package": JAVA_PACKAGE, "type": JAVA_TYPE, "method": JAVA_METHOD}.items()}
 _CALLS = re.compile(CALL, re.A)
-_PY_SKIP, _JAVA_SKIP = frozenset(PY_NO_CALLS.split()), frozenset(JAVA_NO_CALLS.split())
+_PY_SKIP, _JAVA_SKIP = frozenset(PY_NO_CALLS), frozenset(JAVA_NO_CALLS)
 #: A line up to its comment: strings, escaped characters and all else but a "#".
 _BEFORE_COMMENT = re.compile(r"""(?:\\(?:.|$)|'(?:\\.|[^'\\])*(?:'|\\?$)|"(?:\\.|[^"\\])*(?:"|\\?$)|[^#'"\\])*""", re.S)
 #: Pieces of a Java line: comments, strings and characters.

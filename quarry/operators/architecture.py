@@ -14,7 +14,7 @@ RADAR_RANKS = {"controller": 0, "service": 1, "domain": 2, "repository": 3, "inf
 
 def layer_words(spark: SparkSession) -> DataFrame:
     """(word, layer, layer_order, rank): a constant of the code, a few dozen rows, so it may be broadcast."""
-    rows = [(w, name, i, rank) for i, (name, words, rank) in enumerate(C.LAYERS) for w in words.split()]
+    rows = [(w, name, i, rank) for i, (name, words, rank) in enumerate(C.LAYERS) for w in words]
     return F.broadcast(spark.createDataFrame(rows, "word string, layer string, layer_order int, rank int"))
 
 
@@ -69,7 +69,7 @@ def dotted_layer(module: Column) -> Column:
     """The first layer of which a word is a segment of the dotted id."""
     out = F.lit(None).cast("string")
     for name, words, _ in reversed(C.GO_LAYERS):
-        hit = F.arrays_overlap(F.split(F.lower(module), r"\."), F.array(*[F.lit(w) for w in words.split()]))
+        hit = F.arrays_overlap(F.split(F.lower(module), r"\."), F.array(*[F.lit(w) for w in words]))
         out = F.when(hit, name).otherwise(out)
     return out
 

@@ -178,7 +178,7 @@ def q_import_suffix(spark, d):
     return graph.resolve_imports(imports.select("scan_id", "src", F.concat_ws(".", "lang", "x").alias("target")), mods, symbols).drop("scan_id")
 
 
-_WORDS = ", ".join(f"('{w}', '{name}', {i}, {rank if rank is not None else 'NULL'})" for i, (name, words, rank) in enumerate(C.LAYERS) for w in words.split())
+_WORDS = ", ".join(f"('{w}', '{name}', {i}, {rank if rank is not None else 'NULL'})" for i, (name, words, rank) in enumerate(C.LAYERS) for w in words)
 HITS = f"(SELECT DISTINCT scan_id, file_path, layer, ord, rank FROM (SELECT scan_id, file_path, unnest(string_split(lower(file_path), '/')[1:-2]) AS word FROM {PATHS_SQL}) JOIN (VALUES {_WORDS}) k(word, layer, ord, rank) USING (word))"
 FILE_LAYERS = f"(SELECT scan_id, file_path, layer, rank FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, file_path ORDER BY ord) AS n FROM {HITS} WHERE rank IS NOT NULL) WHERE n = 1)"
 LAYERED = f"(SELECT e.*, s.layer AS sl, s.rank AS sr, t.layer AS dl, t.rank AS dr FROM {EDGES_SQL} e JOIN {FILE_LAYERS} s ON s.scan_id = e.scan_id AND s.file_path = e.src JOIN {FILE_LAYERS} t ON t.scan_id = e.scan_id AND t.file_path = e.dst)"
@@ -201,7 +201,7 @@ def q_layer_summary(spark, d):
 
 
 def _go_layer(col: str, value: str) -> str:
-    cases = " ".join(f"WHEN list_has_any(string_split(lower({col}), '.'), [{', '.join(repr(w) for w in words.split())}]) THEN {repr(name) if value == 'name' else rank}" for name, words, rank in C.GO_LAYERS)
+    cases = " ".join(f"WHEN list_has_any(string_split(lower({col}), '.'), [{', '.join(repr(w) for w in words)}]) THEN {repr(name) if value == 'name' else rank}" for name, words, rank in C.GO_LAYERS)
     return f"CASE {cases} END"
 
 

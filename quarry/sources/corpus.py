@@ -1,18 +1,14 @@
 """A software project as a DataFrame: ``scan_id, rel_path, language, text`` and what the file system knows.
 
 ``read_tree`` lists a directory with the binary-file source, so listing, filtering by path and length, decoding
-and hashing run on the executors. ``read_zip`` unpacks an archive on the driver into a folder first: an upload is one
-file, and unsafe member names must be refused before anything is written.
+and hashing run on the executors. ``read_zip`` reads an uploaded archive through ``archive``'s data source.
 """
 
-import zipfile
-from pathlib import Path
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.config import CONFIG_SUFFIXES, DEFAULTS, SKIPPED_DIRS, Settings
+from quarry.functions.config import CONFIG_SUFFIXES, DEFAULTS, GENERATED_DIRS, SKIPPED_DIRS, Settings
 
 SCHEMA = "scan_id bigint, rel_path string, language string, text string"
 
@@ -23,7 +19,7 @@ def language_of(path: Column) -> Column:
     config = F.lower(name).isin("dockerfile", ".env") | F.lit(False)
     for suffix in CONFIG_SUFFIXES:
         config = config | name.endswith(suffix)
-    return F.when(name.endswith(".py"), "python").when(name.endswith(".java"), "java").when(config, "config")
+    return F.when(name.endswith(".py") | name.endswith(".pyw"), "python").when(name.endswith(".java"), "java").when(config, "config")
 
 
 def skipped(path: Column) -> Column:
@@ -55,20 +51,26 @@ def decoded(content: Column) -> Column:
 def collected(files: DataFrame, project: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Files of a project language ("python", "java", "multi") and its configuration, at most ``max_files`` by path.
 
-    ``files``: rel_path, length and further columns. Order is by path, so that reruns agree.
+    ``files``: rel_path, length and further columns. Order is by path, so that reruns agree. A .pyw file has a parser, but isn't
+    collected.
     """
     wanted = {"python": ("python", "config"), "java": ("java", "config")}.get(project, ("python", "java", "config"))
-    rows = files.filter(~skipped(F.col("rel_path")) & (F.col("length") <= settings.max_bytes))
+    rows = files.filter(~skipped(F.col("rel_path")) & ~F.col("rel_path").endswith(".pyw") & (F.col("length") <= settings.max_bytes))
     rows = rows.withColumn("language", language_of(F.col("rel_path"))).filter(F.col("language").isin(*wanted))
     return rows.orderBy("rel_path").limit(settings.max_files)
 
 
 def read_tree(spark: SparkSession, root: str, scan_id: int, project: str = "multi", settings: Settings = DEFAULTS) -> DataFrame:
-    """The corpus below ``root``, with ``file_hash`` (SHA-256), ``bytes`` and ``newline_count``."""
+    """The corpus below ``root``, with ``file_hash`` (SHA-256), ``bytes`` and ``newline_count``. Spark's file source passes over
+    empty files; an archive's are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file://")
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + base.replace(".", r"\.") + "/", "")
-    files = files.select(rel.alias("rel_path"), "length", "content")
+    return as_corpus(files.select(rel.alias("rel_path"), "length", "content"), scan_id, project, settings)
+
+
+def as_corpus(files: DataFrame, scan_id: int, project: str = "multi", settings: Settings = DEFAULTS) -> DataFrame:
+    """The corpus of files (rel_path, length, content): the wanted ones, decoded and hashed."""
     rows = collected(files, project, settings)
     text = decoded(F.col("content"))
     return rows.select(
@@ -82,23 +84,21 @@ def read_tree(spark: SparkSession, root: str, scan_id: int, project: str = "mult
     )
 
 
-def unpack_zip(archive: str, target: str) -> str:
-    """Unpack below ``target``; a member that would land outside is refused. A single top folder is entered."""
-    if not archive.endswith(".zip"):
-        raise ValueError("only .zip archives are accepted")
-    root = Path(target).resolve()
-    with zipfile.ZipFile(archive) as z:
-        for member in z.infolist():
-            to = (root / member.filename).resolve()
-            if root != to and root not in to.parents:
-                raise ValueError(f"unsafe path in archive: {member.filename}")
-        z.extractall(root)
-    inside = [p for p in root.iterdir() if not p.name.startswith("__MACOSX")]
-    return str(inside[0] if len(inside) == 1 and inside[0].is_dir() else root)
+def dotted_files(files: DataFrame, languages: tuple[str, ...] = ("python", "java"), settings: Settings = DEFAULTS) -> DataFrame:
+    """Files of the architecture scan (rel_path, length and further columns): Python and Java by suffix, whatever its case,
+    outside of generated and hidden directories, at most ``go_max_bytes``; without a limit on their number."""
+    suffix = F.lower(F.regexp_extract("rel_path", r"(\.[^./]*)$", 1))
+    language = F.when(suffix == ".py", "python").when(suffix == ".java", "java")
+    dirs = F.slice(F.split("rel_path", "/"), 1, F.size(F.split("rel_path", "/")) - 1)
+    hidden = F.exists(dirs, lambda x: x.isin(*GENERATED_DIRS) | x.startswith("."))
+    rows = files.filter(~hidden & (F.col("length") <= settings.go_max_bytes)).withColumn("language", language)
+    return rows.filter(F.col("language").isin(*languages))
+
 
+def read_zip(spark: SparkSession, archive: str, scan_id: int, project: str = "multi") -> DataFrame:
+    from quarry.sources.archive import read_archive
 
-def read_zip(spark: SparkSession, archive: str, target: str, scan_id: int, project: str = "multi") -> DataFrame:
-    return read_tree(spark, unpack_zip(archive, target), scan_id, project)
+    return read_archive(spark, archive, scan_id, project)
 
 
 def from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
