@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import dropped, stored
 
 
-#: Nodes of more than one in so many edges get their least neighbour by broadcast; at most twice as many exist.
+#: Nodes of more than one in so many edges get their least neighbour by broadcast; at most four times as many exist.
 HOT = 1000
 
 
@@ -48,7 +48,7 @@ def _state(edges: DataFrame) -> tuple[bool, int]:
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """``node, component`` (the least node reachable) for all nodes that have a link to another; ``links``: u, v.
 
-    Each step is a group-by with map-side combining and an equi-join, by broadcast for hot nodes; what it yields
+    Each star is a group-by with map-side combining and an equi-join, by broadcast for hot nodes; what it yields
     is written to the shared folder, so the lineage stays short. It ends when all edges are stars around the least node,
     which is the fixed point; links that are stars already cost no step.
     """
@@ -60,7 +60,10 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
             ).distinct()
-        step = _small_star(_large_star(edges, n).filter("u <> v"), n).filter("u <> v").distinct()
-        last, edges = edges, stored(step, "cc")
-        dropped(last)
+        # rounded down, so that the steps share their generated code; up to twice as many nodes are hot then
+        n = 1 << max(0, n.bit_length() - 1)
+        large = stored(_large_star(edges, n).filter("u <> v"), "cc-large")
+        dropped(edges)
+        edges = stored(_small_star(large, n).filter("u <> v").distinct(), "cc")
+        dropped(large)
     raise RuntimeError(f"no fixed point after {most} steps")
