@@ -173,8 +173,9 @@ def _table(corpus: DataFrame, language: str, rows_of, schema: str, fields: list)
             for scan, path, text in zip(*(batch.column(c).to_pylist() for c in ("scan_id", "rel_path", "text")), strict=True):
                 rows = rows_of(text or "")
                 if rows:
-                    blank = dict.fromkeys(arrow.names)
-                    yield pa.RecordBatch.from_pylist([blank | r | {"scan_id": scan, "rel_path": path} for r in rows], arrow)
+                    place = [pa.repeat(pa.scalar(v, t), len(rows)) for v, t in ((scan, pa.int64()), (path, pa.string()))]
+                    columns = [pa.array([r.get(name) for r in rows], t) for name, t in fields]
+                    yield pa.RecordBatch.from_arrays([*place, *columns], schema=arrow)
 
     return corpus.filter(corpus.language == language).select("scan_id", "rel_path", "text").mapInArrow(run, schema)
 

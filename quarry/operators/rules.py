@@ -3,6 +3,9 @@
 A rule yields ``scan_id, rel_path, line, col, end_line, message, code_snippet`` and may yield its own ``severity``;
 ``run_rules`` adds the rule's code, category and severity. Rules are set operations over the fact tables; the parse
 is shared. A rule is added with ``@rule(...)``, and switched by its code.
+
+A rule that needs one row only is added with ``@row_rule(...)`` and gives columns instead of a table: all such rules of a fact
+table run in one pass over it, which makes an array of findings for each row and explodes it.
 """
 
 from __future__ import annotations
@@ -25,11 +28,12 @@ _FILE = ["scan_id", "rel_path"]
 
 
 class Facts:
-    """The fact tables of a corpus. Parsed tables are persisted on first use; ``close`` frees them."""
+    """The fact tables of a corpus. It and its parsed tables are persisted on first use (they spill); ``close`` frees them."""
 
     def __init__(self, corpus: DataFrame, settings: C.Settings = C.DEFAULTS):
-        self.corpus, self.settings = corpus, settings
         self._kept: list[DataFrame] = []
+        # a parse costs far more than the shuffle of a text, so files are dealt evenly before it
+        self.corpus, self.settings = self._keep(corpus.repartition("scan_id", "rel_path")), settings
 
     def _keep(self, df: DataFrame) -> DataFrame:
         self._kept.append(df.persist())
@@ -75,7 +79,21 @@ class Rule:
     category: str
     severity: str
     name: str
-    find: Callable[[Facts], DataFrame]
+    find: Callable[[Facts], DataFrame] | None = None
+    #: For a rule of one row: the fact table, and the columns of a finding.
+    table: str | None = None
+    columns: Callable[[C.Settings], Hit] | None = None
+
+
+@dataclass(frozen=True)
+class Hit:
+    """A finding of one row, as columns: whether there is one, and what it says."""
+
+    when: Column
+    message: Column
+    col: Column | None = None
+    snippet: Column | None = None
+    severity: Column | None = None
 
 
 REGISTRY: dict[str, Rule] = {}
@@ -86,14 +104,28 @@ def rule(code: str, language: str, category: str, severity: str, name: str):
     """Register a rule; a code may be used once."""
 
     def add(find: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
-        if code in REGISTRY:
-            raise ValueError(f"rule {code} is registered already")
-        REGISTRY[code] = Rule(code, language, category, severity, name, find)
+        _register(Rule(code, language, category, severity, name, find))
         return find
 
     return add
 
 
+def row_rule(code: str, language: str, category: str, severity: str, name: str, table: str):
+    """Register a rule of one row of a fact table: "lines", "nodes", "java" or "py_tokens"."""
+
+    def add(columns: Callable[[C.Settings], Hit]) -> Callable[[C.Settings], Hit]:
+        _register(Rule(code, language, category, severity, name, None, table, columns))
+        return columns
+
+    return add
+
+
+def _register(r: Rule) -> None:
+    if r.code in REGISTRY:
+        raise ValueError(f"rule {r.code} is registered already")
+    REGISTRY[r.code] = r
+
+
 def set_enabled(code: str, enabled: bool) -> None:
     if code not in REGISTRY:
         raise KeyError(code)
@@ -125,11 +157,38 @@ def _finding(rows: DataFrame, message: Column, line: str | Column = "line", col:
     return rows.select(*out)
 
 
+#: The place of a finding in a row of each fact table.
+_AT = {"lines": "line_no", "nodes": "line", "java": "line", "py_tokens": "line"}
+
+
+def _row_findings(facts: Facts, table: str, rules: list[Rule]) -> DataFrame:
+    """Findings of all ``rules`` of a table, in one pass over it."""
+    rows, at = getattr(facts, table), F.col(_AT[table]).cast("int")
+    hits = []
+    for r in rules:
+        h = r.columns(facts.settings)
+        found = F.struct(
+            F.lit(r.code).alias("rule_code"), F.lit(r.category).alias("category"), (F.lit(r.severity) if h.severity is None else h.severity).alias("severity"),
+            at.alias("line"), (F.lit(0) if h.col is None else h.col).cast("int").alias("col"), at.alias("end_line"), h.message.alias("message"),
+            (F.lit(None) if h.snippet is None else h.snippet).cast("string").alias("own"),
+        )
+        of = h.when if table != "lines" else (F.col("language") == r.language) & h.when
+        hits.append(F.when(of, found))
+    if table == "lines":
+        rows = _with_line_parts(rows)
+    return rows.select("scan_id", "rel_path", F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+
+
 def run_rules(facts: Facts, codes: list[str] | None = None) -> DataFrame:
-    """Findings of the enabled rules (or of ``codes``): a union of their tables."""
+    """Findings of the enabled rules (or of ``codes``): one pass for the row rules of each table, and a union with the others'."""
     chosen = [REGISTRY[c] for c in (codes or REGISTRY) if c not in _off]
     parts = []
+    for table in _AT:
+        if of := [r for r in chosen if r.table == table]:
+            parts.append(_row_findings(facts, table, of))
     for r in chosen:
+        if r.find is None:
+            continue
         rows = r.find(facts)
         snippet = F.col("code_snippet") if "code_snippet" in rows.columns else F.lit(None).cast("string")
         parts.append(
@@ -150,37 +209,51 @@ BAD_OPERATOR = r"[A-Za-z0-9_)\]](?:(?:==|!=|<=|>=|\+=|-=|\*=|/=|=|\+|\*|/|%|<|>)
 BAD_COMMA = r",[A-Za-z0-9_(\[]"
 
 
+ASSIGNMENT = r"""^[\s"']*([A-Za-z0-9_.-]+)[\s"']*(?:=|:)[\s"']*(.+?)[\s,]*$"""
+
+
 def bare(raw: Column) -> Column:
     return F.regexp_replace(raw, STRINGS, "")
 
 
+def _with_line_parts(rows: DataFrame) -> DataFrame:
+    """Lines with what several rules look at: Python's text without strings and its indent; key and value of an assignment in a
+    configuration (key = value or key: value), the value without quotes and trailing comma."""
+    raw = F.col("raw")
+    assigned = (F.col("language") == "config") & ~raw.rlike(r"^\s*(#|//|;|$)") & raw.rlike(ASSIGNMENT)
+    value = F.regexp_replace(F.regexp_replace(strip(F.regexp_extract("raw", ASSIGNMENT, 2)), "^[\"']+|[\"']+$", ""), ",+$", "")
+    return rows.withColumns({
+        "bare": F.when(F.col("language") == "python", bare(raw)),
+        "indent": F.when(F.col("language") == "python", F.regexp_extract("raw", r"^(\s*)\S", 1)),
+        "key": F.when(assigned, F.regexp_extract("raw", ASSIGNMENT, 1)),
+        "value": F.when(assigned, value),
+    })
+
+
 def _first(text: Column, pattern: str) -> Column:
     """Column of the first match, from 0."""
     return F.regexp_instr(text, F.lit(pattern)) - 1
 
 
-@rule("PY-S001", "python", "space", "info", "Space around binary operators")
-def operator_space(f: Facts) -> DataFrame:
-    rows = f.of("python").withColumn("bare", bare(F.col("raw")))
-    rows = rows.filter(~(F.col("bare").contains("(") & F.col("bare").contains(")")) & F.col("bare").rlike(BAD_OPERATOR))
-    return _finding(rows, F.lit("no space around an operator"), "line_no", _first(F.col("bare"), BAD_OPERATOR), F.substring("raw", 1, 80))
+def _head(length: int = 80) -> Column:
+    return F.substring("raw", 1, length)
 
 
-@rule("PY-S002", "python", "space", "info", "Space after a comma")
-def comma_space(f: Facts) -> DataFrame:
-    rows = f.of("python").withColumn("bare", bare(F.col("raw"))).filter(F.col("bare").rlike(BAD_COMMA))
-    return _finding(rows, F.lit("no space after a comma"), "line_no", _first(F.col("bare"), BAD_COMMA), F.substring("raw", 1, 80))
+@row_rule("PY-S001", "python", "space", "info", "Space around binary operators", "lines")
+def operator_space(s: C.Settings) -> Hit:
+    b = F.col("bare")
+    return Hit(~(b.contains("(") & b.contains(")")) & b.rlike(BAD_OPERATOR), F.lit("no space around an operator"), _first(b, BAD_OPERATOR), _head())
 
 
-def _indent(raw: Column) -> Column:
-    return F.regexp_extract(raw, r"^(\s*)\S", 1)
+@row_rule("PY-S002", "python", "space", "info", "Space after a comma", "lines")
+def comma_space(s: C.Settings) -> Hit:
+    return Hit(F.col("bare").rlike(BAD_COMMA), F.lit("no space after a comma"), _first(F.col("bare"), BAD_COMMA), _head())
 
 
-@rule("PY-I001", "python", "indent", "warning", "Indent of four spaces")
-def indent_multiple(f: Facts) -> DataFrame:
-    rows = f.of("python").withColumn("indent", _indent(F.col("raw")))
-    rows = rows.filter(F.col("raw").rlike(r"^\s*[^\s#]") & ~F.col("indent").contains("\t") & (F.length("indent") % 4 != 0))
-    return _finding(rows, F.format_string("indent of %d is no multiple of 4", F.length("indent")), "line_no", None, F.substring("raw", 1, 80))
+@row_rule("PY-I001", "python", "indent", "warning", "Indent of four spaces", "lines")
+def indent_multiple(s: C.Settings) -> Hit:
+    n = F.length("indent")
+    return Hit(F.col("raw").rlike(r"^\s*[^\s#]") & ~F.col("indent").contains("\t") & (n % 4 != 0), F.format_string("indent of %d is no multiple of 4", n), snippet=_head())
 
 
 def _mixed(f: Facts, language: str) -> DataFrame:
@@ -206,20 +279,19 @@ def java_mixed_indent(f: Facts) -> DataFrame:
     return _mixed(f, "java")
 
 
-def _long_lines(f: Facts, language: str, limit: int) -> DataFrame:
-    rows = f.of(language).filter(F.length("raw") > limit)
-    cut = F.concat(F.substring("raw", 1, 120), F.when(F.length("raw") > 120, "...").otherwise(""))
-    return _finding(rows, F.format_string("line of %d characters", F.length("raw")), "line_no", None, cut)
+def _long_line(limit: int) -> Hit:
+    n = F.length("raw")
+    return Hit(n > limit, F.format_string("line of %d characters", n), snippet=F.concat(_head(120), F.when(n > 120, "...").otherwise("")))
 
 
-@rule("PY-L001", "python", "length", "info", "Line over 100 characters")
-def long_line(f: Facts) -> DataFrame:
-    return _long_lines(f, "python", 100)
+@row_rule("PY-L001", "python", "length", "info", "Line over 100 characters", "lines")
+def long_line(s: C.Settings) -> Hit:
+    return _long_line(100)
 
 
-@rule("JA-L001", "java", "length", "info", "Line over 120 characters")
-def java_long_line(f: Facts) -> DataFrame:
-    return _long_lines(f, "java", 120)
+@row_rule("JA-L001", "java", "length", "info", "Line over 120 characters", "lines")
+def java_long_line(s: C.Settings) -> Hit:
+    return _long_line(120)
 
 
 @rule("PY-N001", "python", "naming", "warning", "Module name")
@@ -255,54 +327,38 @@ def keyword_paren(f: Facts) -> DataFrame:
 
 # ---- configuration ----
 
-ASSIGNMENT = r"""^[\s"']*([A-Za-z0-9_.-]+)[\s"']*(?:=|:)[\s"']*(.+?)[\s,]*$"""
-
-
-def assignments(f: Facts) -> DataFrame:
-    """Lines of the form key = value or key: value; value without quotes and trailing comma."""
-    rows = f.of("config").filter(~F.col("raw").rlike(r"^\s*(#|//|;|$)") & F.col("raw").rlike(ASSIGNMENT))
-    value = F.regexp_extract("raw", ASSIGNMENT, 2)
-    clean = F.regexp_replace(F.regexp_replace(strip(value), "^[\"']+|[\"']+$", ""), ",+$", "")
-    return rows.select(*_FILE, "line_no", "raw", F.regexp_extract("raw", ASSIGNMENT, 1).alias("key"), clean.alias("value"))
-
-
 def _i(pattern: str) -> str:
     return f"(?i){pattern}"
 
 
-def _config(rows: DataFrame, text: str) -> DataFrame:
-    return _finding(rows, F.concat(F.lit(text), F.col("key")), "line_no", None, strip(F.col("raw")))
+def _setting(when: Column, text: str) -> Hit:
+    return Hit(F.col("key").isNotNull() & when, F.concat(F.lit(text), F.col("key")), snippet=strip(F.col("raw")))
 
 
-@rule("CFG-SEC001", "config", "security", "error", "Secret in configuration")
-def config_secret(f: Facts) -> DataFrame:
-    rows = assignments(f).filter(F.col("key").rlike(_i(C.SECRET_KEY)) & (F.col("value") != "") & ~F.col("value").rlike(_i(C.PLACEHOLDER)))
-    return _config(rows, "secret value of ")
+@row_rule("CFG-SEC001", "config", "security", "error", "Secret in configuration", "lines")
+def config_secret(s: C.Settings) -> Hit:
+    return _setting(F.col("key").rlike(_i(C.SECRET_KEY)) & (F.col("value") != "") & ~F.col("value").rlike(_i(C.PLACEHOLDER)), "secret value of ")
 
 
-@rule("CFG-SEC002", "config", "security", "warning", "Weak secret")
-def config_weak(f: Facts) -> DataFrame:
-    rows = assignments(f).filter(F.col("key").rlike(_i(C.SECRET_KEY)) & F.col("value").rlike(_i(C.WEAK_VALUE)))
-    return _config(rows, "weak value of ")
+@row_rule("CFG-SEC002", "config", "security", "warning", "Weak secret", "lines")
+def config_weak(s: C.Settings) -> Hit:
+    return _setting(F.col("key").rlike(_i(C.SECRET_KEY)) & F.col("value").rlike(_i(C.WEAK_VALUE)), "weak value of ")
 
 
-@rule("CFG-ENV001", "config", "environment", "warning", "Debugging is on")
-def config_debug(f: Facts) -> DataFrame:
-    rows = assignments(f).filter(F.col("key").rlike(_i(C.DEBUG_KEY)) & F.col("value").rlike(_i(C.TRUTHY)))
-    return _config(rows, "debugging by ")
+@row_rule("CFG-ENV001", "config", "environment", "warning", "Debugging is on", "lines")
+def config_debug(s: C.Settings) -> Hit:
+    return _setting(F.col("key").rlike(_i(C.DEBUG_KEY)) & F.col("value").rlike(_i(C.TRUTHY)), "debugging by ")
 
 
-@rule("CFG-SEC003", "config", "security", "warning", "Plain http address")
-def config_url(f: Facts) -> DataFrame:
+@row_rule("CFG-SEC003", "config", "security", "warning", "Plain http address", "lines")
+def config_url(s: C.Settings) -> Hit:
     bad = r"(?i)http://(?!localhost|127\.0\.0\.1|0\.0\.0\.0)"
-    rows = f.of("config").filter(F.col("raw").rlike(bad))
-    return _finding(rows, F.lit("address without TLS"), "line_no", None, strip(F.col("raw")))
+    return Hit(F.col("raw").rlike(bad), F.lit("address without TLS"), snippet=strip(F.col("raw")))
 
 
-@rule("CFG-SEC004", "config", "security", "warning", "Any origin is allowed")
-def config_origin(f: Facts) -> DataFrame:
-    rows = assignments(f).filter(F.col("key").rlike(_i(C.ORIGIN_KEY)) & F.col("value").contains("*"))
-    return _config(rows, "any origin by ")
+@row_rule("CFG-SEC004", "config", "security", "warning", "Any origin is allowed", "lines")
+def config_origin(s: C.Settings) -> Hit:
+    return _setting(F.col("key").rlike(_i(C.ORIGIN_KEY)) & F.col("value").contains("*"), "any origin by ")
 
 
 @rule("CFG-SYN001", "config", "config", "error", "Syntax of a configuration file")
@@ -320,16 +376,20 @@ def _kind(f: Facts, *kinds: str) -> DataFrame:
     return f.nodes.filter(F.col("kind").isin(*kinds))
 
 
-@rule("PY-N002", "python", "naming", "error", "Class name")
-def class_name(f: Facts) -> DataFrame:
-    return _finding(_kind(f, "ClassDef").filter(~F.col("name").rlike("^[A-Z][a-zA-Z0-9]*$")), F.concat(F.lit("class name "), "name"), "line", "col")
+def _is(*kinds: str) -> Column:
+    return F.col("kind").isin(*kinds)
 
 
-@rule("PY-N003", "python", "naming", "warning", "Function name")
-def function_name(f: Facts) -> DataFrame:
+@row_rule("PY-N002", "python", "naming", "error", "Class name", "nodes")
+def class_name(s: C.Settings) -> Hit:
+    return Hit(_is("ClassDef") & ~F.col("name").rlike("^[A-Z][a-zA-Z0-9]*$"), F.concat(F.lit("class name "), "name"), F.col("col"))
+
+
+@row_rule("PY-N003", "python", "naming", "warning", "Function name", "nodes")
+def function_name(s: C.Settings) -> Hit:
     bare_name = F.regexp_replace("name", "^_+", "")
     checked = F.when(bare_name == "", F.col("name")).otherwise(bare_name)
-    return _finding(_kind(f, *FUNCTIONS).filter(~checked.rlike("^[a-z_][a-z0-9_]*$")), F.concat(F.lit("function name "), "name"), "line", "col")
+    return Hit(_is(*FUNCTIONS) & ~checked.rlike("^[a-z_][a-z0-9_]*$"), F.concat(F.lit("function name "), "name"), F.col("col"))
 
 
 def _assigned(f: Facts) -> DataFrame:
@@ -353,24 +413,23 @@ def short_name(f: Facts) -> DataFrame:
     return _finding(rows, F.concat(F.lit("name of one letter "), "name"), "line", "col")
 
 
-def _undocumented(f: Facts, *kinds: str) -> DataFrame:
-    return _finding(_kind(f, *kinds).filter(~F.col("name").startswith("_") & ~F.col("has_doc")), F.concat(F.lit("no docstring: "), "name"))
+def _undocumented(kind: Column) -> Hit:
+    return Hit(kind & ~F.col("name").startswith("_") & ~F.col("has_doc"), F.concat(F.lit("no docstring: "), "name"))
 
 
-@rule("PY-C001", "python", "comment", "info", "Docstring of public functions")
-def function_doc(f: Facts) -> DataFrame:
-    return _undocumented(f, *FUNCTIONS)
+@row_rule("PY-C001", "python", "comment", "info", "Docstring of public functions", "nodes")
+def function_doc(s: C.Settings) -> Hit:
+    return _undocumented(_is(*FUNCTIONS))
 
 
-@rule("PY-C002", "python", "comment", "info", "Docstring of public classes")
-def class_doc(f: Facts) -> DataFrame:
-    return _undocumented(f, "ClassDef")
+@row_rule("PY-C002", "python", "comment", "info", "Docstring of public classes", "nodes")
+def class_doc(s: C.Settings) -> Hit:
+    return _undocumented(_is("ClassDef"))
 
 
-@rule("PY-C003", "python", "comment", "info", "Space after a comment sign")
-def comment_space(f: Facts) -> DataFrame:
-    rows = f.py_tokens.filter((F.col("kind") == "comment") & F.col("value").rlike("^#[^ !#]"))
-    return _finding(rows, F.lit("no space after #"), "line", "col", F.substring("value", 1, 80))
+@row_rule("PY-C003", "python", "comment", "info", "Space after a comment sign", "py_tokens")
+def comment_space(s: C.Settings) -> Hit:
+    return Hit((F.col("kind") == "comment") & F.col("value").rlike("^#[^ !#]"), F.lit("no space after #"), F.col("col"), F.substring("value", 1, 80))
 
 
 @rule("PY-M001", "python", "magic", "warning", "Magic number")
@@ -418,11 +477,10 @@ def unreachable(f: Facts) -> DataFrame:
     return _finding(first, F.lit("statement is never reached"))
 
 
-@rule("PY-D004", "python", "dead", "info", "Empty function")
-def empty_function(f: Facts) -> DataFrame:
-    rows = _kind(f, *FUNCTIONS).filter(F.col("value_kind") == "pass")
-    rows = rows.filter(~F.arrays_overlap("decorators", F.array(F.lit("abstractmethod"), F.lit("abstract"))))
-    return _finding(rows, F.concat(F.lit("only pass in "), "name"))
+@row_rule("PY-D004", "python", "dead", "info", "Empty function", "nodes")
+def empty_function(s: C.Settings) -> Hit:
+    abstract = F.arrays_overlap("decorators", F.array(F.lit("abstractmethod"), F.lit("abstract")))
+    return Hit(_is(*FUNCTIONS) & (F.col("value_kind") == "pass") & ~abstract, F.concat(F.lit("only pass in "), "name"))
 
 
 @rule("PY-IM001", "python", "import", "warning", "Imports at the top")
@@ -437,9 +495,9 @@ def late_import(f: Facts) -> DataFrame:
     return _finding(rows, F.lit("import after other statements"))
 
 
-@rule("PY-IM002", "python", "import", "warning", "Wildcard import")
-def wildcard_import(f: Facts) -> DataFrame:
-    return _finding(_kind(f, "ImportFrom").filter(F.array_contains("params", "*")), F.concat(F.lit("wildcard import of "), "name"))
+@row_rule("PY-IM002", "python", "import", "warning", "Wildcard import", "nodes")
+def wildcard_import(s: C.Settings) -> Hit:
+    return Hit((F.col("kind") == "ImportFrom") & F.array_contains("params", "*"), F.concat(F.lit("wildcard import of "), "name"))
 
 
 @rule("PY-IM003", "python", "import", "info", "Order of imports")
@@ -464,10 +522,14 @@ def import_order(f: Facts) -> DataFrame:
     return _finding(first, F.concat(F.lit("import out of order: "), F.col("x.module")), F.col("x.line"))
 
 
-@rule("PY-L002", "python", "length", "warning", "Function over 50 lines")
-def long_function(f: Facts) -> DataFrame:
-    rows = _kind(f, *FUNCTIONS).withColumn("n", F.col("end_line") - F.col("line") + 1).filter("n > 50")
-    return _finding(rows, F.format_string("function of %d lines", "n"))
+def _too_long(kind: Column, limit: int, text: str) -> Hit:
+    n = F.col("end_line") - F.col("line") + 1
+    return Hit(kind & (n > limit), F.format_string(f"{text} of %d lines", n))
+
+
+@row_rule("PY-L002", "python", "length", "warning", "Function over 50 lines", "nodes")
+def long_function(s: C.Settings) -> Hit:
+    return _too_long(_is(*FUNCTIONS), 50, "function")
 
 
 def _metrics(f: Facts) -> DataFrame:
@@ -476,16 +538,16 @@ def _metrics(f: Facts) -> DataFrame:
     return python_metrics(f.nodes)
 
 
-def _too_complex(rows: DataFrame, f: Facts) -> DataFrame:
-    s = f.settings
-    severity = F.when(F.col("cyclomatic") > s.complexity_critical, "error").otherwise("warning")
-    rows = rows.filter(F.col("cyclomatic") > s.complexity_warn)
-    return _finding(rows, F.format_string("cyclomatic complexity %d", F.col("cyclomatic").cast("int")), "start_line", severity=severity)
+def _complex(s: C.Settings) -> Hit:
+    n = F.col("cyclomatic")
+    severity = F.when(n > s.complexity_critical, "error").otherwise("warning")
+    return Hit(n > s.complexity_warn, F.format_string("cyclomatic complexity %d", n.cast("int")), severity=severity)
 
 
 @rule("PY-X001", "python", "complexity", "warning", "Cyclomatic complexity")
 def py_cyclomatic(f: Facts) -> DataFrame:
-    return _too_complex(_metrics(f), f)
+    hit = _complex(f.settings)
+    return _finding(_metrics(f).filter(hit.when), hit.message, "start_line", severity=hit.severity)
 
 
 @rule("PY-X002", "python", "complexity", "warning", "Nesting over 4")
@@ -555,32 +617,37 @@ def _methods(f: Facts) -> DataFrame:
     return _java(f, "method").filter("returns is not null")
 
 
-@rule("JA-N001", "java", "naming", "error", "Type name")
-def java_type_name(f: Facts) -> DataFrame:
-    return _finding(_java(f, "class", "interface").filter(~F.col("name").rlike("^[A-Z][a-zA-Z0-9]*$")), F.concat(F.lit("type name "), "name"))
+def _is_method() -> Column:
+    """Methods without constructors."""
+    return _is("method") & F.col("returns").isNotNull()
+
+
+@row_rule("JA-N001", "java", "naming", "error", "Type name", "java")
+def java_type_name(s: C.Settings) -> Hit:
+    return Hit(_is("class", "interface") & ~F.col("name").rlike("^[A-Z][a-zA-Z0-9]*$"), F.concat(F.lit("type name "), "name"))
 
 
-@rule("JA-N002", "java", "naming", "warning", "Method name")
-def java_method_name(f: Facts) -> DataFrame:
-    return _finding(_methods(f).filter(~F.col("name").rlike("^[a-z][a-zA-Z0-9]*$")), F.concat(F.lit("method name "), "name"))
+@row_rule("JA-N002", "java", "naming", "warning", "Method name", "java")
+def java_method_name(s: C.Settings) -> Hit:
+    return Hit(_is_method() & ~F.col("name").rlike("^[a-z][a-zA-Z0-9]*$"), F.concat(F.lit("method name "), "name"))
 
 
-@rule("JA-N003", "java", "naming", "warning", "Constant name")
-def java_constant_name(f: Facts) -> DataFrame:
-    rows = _java(f, "field").filter(_has("static") & _has("final") & ~F.col("name").rlike("^[A-Z][A-Z0-9_]*$"))
-    return _finding(rows, F.concat(F.lit("constant name "), "name"))
+@row_rule("JA-N003", "java", "naming", "warning", "Constant name", "java")
+def java_constant_name(s: C.Settings) -> Hit:
+    constant = (F.col("kind") == "field") & _has("static") & _has("final")
+    return Hit(constant & ~F.col("name").rlike("^[A-Z][A-Z0-9_]*$"), F.concat(F.lit("constant name "), "name"))
 
 
-@rule("JA-N004", "java", "naming", "warning", "Package name")
-def java_package_name(f: Facts) -> DataFrame:
-    rows = _java(f, "package").filter(~F.col("name").rlike(r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*$"))
-    return _finding(rows, F.concat(F.lit("package name "), "name"))
+@row_rule("JA-N004", "java", "naming", "warning", "Package name", "java")
+def java_package_name(s: C.Settings) -> Hit:
+    bad = ~F.col("name").rlike(r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*$")
+    return Hit((F.col("kind") == "package") & bad, F.concat(F.lit("package name "), "name"))
 
 
-@rule("JA-N005", "java", "naming", "info", "Name of one letter")
-def java_short_name(f: Facts) -> DataFrame:
-    rows = _java(f, "local").filter((F.length("name") == 1) & ~F.col("name").isin(*C.JAVA_SHORT_NAMES))
-    return _finding(rows, F.concat(F.lit("name of one letter "), "name"))
+@row_rule("JA-N005", "java", "naming", "info", "Name of one letter", "java")
+def java_short_name(s: C.Settings) -> Hit:
+    short = (F.length("name") == 1) & ~F.col("name").isin(*C.JAVA_SHORT_NAMES)
+    return Hit((F.col("kind") == "local") & short, F.concat(F.lit("name of one letter "), "name"))
 
 
 def java_docs(f: Facts, rows: DataFrame) -> DataFrame:
@@ -640,9 +707,9 @@ def java_unused_import(f: Facts) -> DataFrame:
     return _finding(rows, F.concat(F.lit("unused import "), "name"))
 
 
-@rule("JA-D002", "java", "dead", "error", "Empty catch block")
-def java_empty_catch(f: Facts) -> DataFrame:
-    return _finding(_java(f, "empty_catch"), F.lit("empty catch block"))
+@row_rule("JA-D002", "java", "dead", "error", "Empty catch block", "java")
+def java_empty_catch(s: C.Settings) -> Hit:
+    return Hit(F.col("kind") == "empty_catch", F.lit("empty catch block"))
 
 
 @rule("JA-D003", "java", "dead", "error", "Unreachable statement")
@@ -659,15 +726,14 @@ def java_unreachable(f: Facts) -> DataFrame:
     return _finding(first.select(*_FILE, F.col("n.line_no").alias("line")).distinct(), F.lit("statement is never reached"))
 
 
-@rule("JA-IM001", "java", "import", "warning", "Wildcard import")
-def java_wildcard(f: Facts) -> DataFrame:
-    return _finding(_java(f, "import").filter("wildcard"), F.concat(F.lit("wildcard import of "), "name"))
+@row_rule("JA-IM001", "java", "import", "warning", "Wildcard import", "java")
+def java_wildcard(s: C.Settings) -> Hit:
+    return Hit((F.col("kind") == "import") & F.col("wildcard"), F.concat(F.lit("wildcard import of "), "name"))
 
 
-@rule("JA-L002", "java", "length", "warning", "Method over 80 lines")
-def java_long_method(f: Facts) -> DataFrame:
-    rows = _java(f, "method").withColumn("n", F.col("end_line") - F.col("line") + 1).filter("n > 80")
-    return _finding(rows, F.format_string("method of %d lines", "n"))
+@row_rule("JA-L002", "java", "length", "warning", "Method over 80 lines", "java")
+def java_long_method(s: C.Settings) -> Hit:
+    return _too_long(F.col("kind") == "method", 80, "method")
 
 
 @rule("JA-M001", "java", "magic", "warning", "Magic number")
@@ -679,9 +745,10 @@ def java_magic_number(f: Facts) -> DataFrame:
     return _finding(rows, F.concat(F.lit("magic number "), "value"), "line", "col")
 
 
-@rule("JA-X001", "java", "complexity", "warning", "Cyclomatic complexity")
-def java_cyclomatic(f: Facts) -> DataFrame:
-    return _too_complex(_methods(f).withColumnRenamed("line", "start_line"), f)
+@row_rule("JA-X001", "java", "complexity", "warning", "Cyclomatic complexity", "java")
+def java_cyclomatic(s: C.Settings) -> Hit:
+    hit = _complex(s)
+    return Hit(_is_method() & hit.when, hit.message, severity=hit.severity)
 
 
 @rule("JAVA-SM001", "java", "smell", "warning", "God class")

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from quarry.functions import config as C
 from quarry.operators import architecture as A
 from quarry.operators import clones, complexity, graph, refactor, reports
+from quarry.operators.scan_store import ScanStore
 from quarry.operators.stage import stored
 from quarry.operators.rules import REGISTRY, Facts, run_rules
 from quarry.plans import derived
 from quarry.plans.derived import CALLS_SQL, CORPUS_SQL, DOTTED_SQL, EDGES_SQL, FUNCTIONS_SQL, PATHS_SQL, TYPES_SQL, files
 from quarry.plans.shared_sql import ISSUES, METRICS
 from quarry.plans.text_plans import LINES
+from quarry.streaming import progress
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -543,20 +545,45 @@ def q_module_edges(spark, d):
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def q_progress_stream(spark, d):
-    """The stream's result after all that is there was read; the same rows as the batch form."""
-    import uuid
+    """The stream's result after all that is there was read, written by each batch; the same rows as the batch form."""
+    counts = progress.windowed_counts(_events(spark, d))
+    place = _stream_folder(spark)
+    stream = counts.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{place}/counts"))
+    stream.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/counts").select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_SILENCE, _LATE = int(progress.SILENCE.total_seconds()), 600
+_EVENT = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'file' END"
+
+
+@query(f"""WITH e AS (SELECT user_id * 100 + day(ts) AS scan_id, ts, {_EVENT} AS event, printf('f%06d', event_id) AS file, CAST(floor(value) AS BIGINT) AS total FROM events),
+s AS (SELECT scan_id, count_if(event = 'file') AS files, coalesce(max(total) FILTER (event = 'start'), 0) AS total, max_by(file, (ts, file)) FILTER (event = 'file') AS current_file, max(ts) AS updated,
+min_by(event, (ts, event)) FILTER (event IN ('done', 'failed')) AS told FROM e GROUP BY scan_id),
+x AS (SELECT *, coalesce(told, CASE WHEN updated + INTERVAL {_SILENCE} SECOND < (SELECT max(ts) FROM events) - INTERVAL {_LATE} SECOND THEN 'failed' WHEN files + total > 0 THEN 'running' ELSE 'pending' END) AS status FROM s)
+SELECT scan_id, status, round(CASE WHEN status = 'done' THEN 1.0 WHEN total > 0 THEN 0.85 * least(files, total) / total WHEN files > 0 THEN 0.85 ELSE 0.0 END, 6) AS progress, files, total, current_file, updated FROM x""")
+def q_scan_progress(spark, d):
+    """Scans (a user's day) whose events are a stream: the store's rows after all that is there was read."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("file")
+    events = _events(spark, d).select(
+        (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("scan_id"), "ts", kind.alias("event"), F.format_string("f%06d", "event_id").alias("file"), F.floor("value").cast("bigint").alias("total"),
+    )
+    place = _stream_folder(spark)
+    store = ScanStore(spark, f"{place}/store")
+    progress.keep_progress(progress.scan_progress(events), store, f"{place}/checkpoint").awaitTermination()
+    return store.read("progress").select("scan_id", "status", F.round("progress", 6).alias("progress"), "files", "total", "current_file", F.col("updated").cast("timestamp_ntz").alias("updated"))
+
 
+def _events(spark, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    name = f"progress_{uuid.uuid4().hex[:8]}"
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    agg = events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    q = agg.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _stream_folder(spark, name)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+    # the table is a file, or a folder of files
+    return progress.event_stream(spark, f"{d}/events.parquet*", schema, recursiveFileLookup="true")
 
 
-def _stream_folder(spark, name: str) -> str:
-    import tempfile
+def _stream_folder(spark) -> str:
+    import uuid
+
+    from quarry.plans.session import checkpoint_dir
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return f"{base.rstrip('/')}/{name}"
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
