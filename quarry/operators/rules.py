@@ -659,20 +659,26 @@ def java_docs(f: Facts, rows: DataFrame) -> DataFrame:
     from quarry.operators.lines import line_array
 
     src = f.corpus.filter("language = 'java'").select(*_FILE, line_array(F.col("text")).alias("ls"))
-    rows = rows.join(src, _FILE)
     lo = F.greatest(F.lit(1), F.col("line") - 49)
     above = F.when(F.col("line") > 1, F.reverse(F.slice("ls", lo, F.col("line") - lo))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("up", F.transform(above, lambda x, i: F.struct(strip(x).alias("x"), i.alias("i"))))
-    solid = F.filter("up", lambda u: (u["x"] != "") & ~u["x"].startswith("@"))
-    rows = rows.withColumn("end", F.get(solid, F.lit(0)))
-    stop = F.col("line") - 1 - F.col("end.i")
-    rows = rows.withColumn("stop", F.when(F.col("end.x").endswith("*/"), stop))
-    from_ = F.greatest(F.lit(1), F.col("stop") - 49)
-    block = F.transform(F.slice("ls", from_, F.col("stop") - from_ + 1), lambda x, i: F.struct(x.contains("/**").alias("b"), (from_ + i).alias("at")))
-    start = F.array_max(F.transform(F.filter(block, lambda b: b["b"]), lambda b: b["at"]))
-    rows = rows.withColumn("start", F.when(F.col("stop").isNotNull(), start))
-    text = F.array_join(F.slice("ls", F.col("start"), F.col("line") - F.col("start")), "\n")
-    return rows.withColumn("doc", F.when(F.col("start").isNotNull(), text)).drop("ls", "up", "end", "stop", "start")
+    numbered = F.transform(above, lambda x, i: F.struct(strip(x).alias("x"), i.alias("i")))
+    solid = F.get(F.filter(numbered, lambda u: (u["x"] != "") & ~u["x"].startswith("@")), F.lit(0))
+
+    def text(start: Column) -> Column:
+        return F.array_join(F.slice("ls", start, F.col("line") - start), "\n")
+
+    def block(stop: Column) -> Column:
+        first = F.greatest(F.lit(1), stop - 49)
+        starts = F.transform(F.slice("ls", first, stop - first + 1), lambda x, i: F.when(x.contains("/**"), first + i))
+        return _let(F.array_max(starts), text)
+
+    doc = _let(solid, lambda end: F.when(end["x"].endswith("*/"), _let(F.col("line") - 1 - end["i"], block)))
+    return rows.join(src, _FILE).withColumn("doc", doc).drop("ls")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 @rule("JA-C001", "java", "comment", "warning", "Javadoc of public types")
