@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import pii, quality_rules
-from quarry.llm.license_scan import LONG, TEMPLATES, license_scan, scanned, template_join
+from quarry.llm.license_scan import TEMPLATES, license_scan, scanned, template_join, vocabulary_of
 from quarry.llm.quality_rules import binomial_tail, certified, measures
 from quarry.llm.quality_rules import quality_rules as run_rules
 
@@ -60,22 +60,20 @@ def test_similarity_join_finds_every_pair(docs_of):
     import random
 
     rng = random.Random(4)
-    words = sorted({w for _, t in TEMPLATES for w in t.split()}) + ["x", "y"]
-    rows = [(i, "\n".join(" ".join(rng.sample(words, rng.randrange(4, 30))) for _ in range(6))) for i in range(150)]
-    rows += [(1000 + i, " ".join(w for w in t.split() if rng.random() < 0.85)) for i, (_, t) in enumerate(TEMPLATES)]
-    vocabulary = sorted({t for _, text in TEMPLATES for t in text.split()})
-    got = {(r.doc_id, r.label, round(r.containment, 9)) for r in template_join(scanned(docs_of(rows), vocabulary), TEMPLATES, 0.6).collect()}
+    words = [*vocabulary_of(), "x", "y"]
+    rows = [(i, "\n\n".join("\n".join(" ".join(rng.sample(words, rng.randrange(4, 30))) for _ in range(3)) for _ in range(3))) for i in range(150)]
+    rows += [(1000 + i, " ".join(w for w in t.split() if rng.random() < 0.85)) for i, (_, t, _, _) in enumerate(TEMPLATES)]
+    got = {(r.doc_id, r.label, round(r.containment, 9)) for r in template_join(scanned(docs_of(rows), vocabulary_of()), TEMPLATES, 0.6).collect()}
     want = set()
     for i, text in rows:
-        lines = text.split("\n")
-        # lines, two adjacent ones, and for longer templates the whole run, as there are no blank lines
-        short = lines + [f"{a} {b}" for a, b in zip(lines, lines[1:])]
-        for label, t in TEMPLATES:
+        for label, t, needs, bars in TEMPLATES:
             s = set(t.split())
-            for b in short + ([text] if len(lines) > 1 and len(s) >= LONG else []):
-                c = len(s & set(b.split()))
-                if c >= math.ceil(0.6 * len(s) - 1e-9):
+            for b in text.split("\n\n"):
+                have = set(b.split())
+                c = len(s & have)
+                if c >= math.ceil(0.6 * len(s) - 1e-9) and have >= set(needs.split()) and not have & set(bars.split()):
                     want.add((i, label, round(c / len(s), 9)))
+    assert len(want) > 100
     assert got == want
 
 
@@ -191,11 +189,16 @@ def test_pii_awkward(awkward, empty):
 
 
 def test_license_wrapped_notices(docs_of):
-    """Every notice, broken after every word, between lines of prose."""
-    cuts = [(label, w, k) for label, t in TEMPLATES for w in [t.split()] for k in range(1, len(w))]
-    docs = docs_of([(i, f"a b\n{' '.join(w[:k])},\n# {' '.join(w[k:])}.\nc d") for i, (_, w, k) in enumerate(cuts)])
+    """Every notice, broken after every word and after each, between lines of prose, has its own label only."""
+    cuts = [(label, [w[:k], w[k:]]) for label, t, _, _ in TEMPLATES for w in [t.split()] for k in range(1, len(w))]
+    cuts += [(label, [[w] for w in t.split()]) for label, t, _, _ in TEMPLATES]
+    docs = docs_of([(i, "a b\n" + ",\n# ".join(map(" ".join, parts)) + ".\nc d") for i, (_, parts) in enumerate(cuts)])
     got = {r.doc_id: r for r in license_scan(docs).collect()}
-    lost = [(label, k) for i, (label, _, k) in enumerate(cuts) if label not in got[i].labels.split(",") or got[i].score < 1]
-    assert not lost
-    apart = docs_of([(1, "licensed under the gnu lesser\n\ngeneral public license")])
-    assert license_scan(apart).first().labels == ""
+    def labels(label):
+        return f"cc-by,{label}" if label.startswith("cc-by-") else label  # the base phrase is in them
+
+    assert [(label, got[i].labels) for i, (label, _) in enumerate(cuts) if (got[i].labels, got[i].score) != (labels(label), 1.0)] == []
+    german = docs_of([(1, "Licensed under the Apache License, mit Worten")])
+    assert license_scan(german).first().labels == "apache"
+    apart = docs_of([(1, "licensed under the gnu lesser\n\ngeneral public license"), (2, "Creative Commons Attribution-NonCommercial 4.0 International License, licensed under a")])
+    assert {r.labels for r in license_scan(apart).collect()} == {""}
