@@ -11,7 +11,7 @@ the main text.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -161,7 +161,10 @@ class Page:
         # texts since the last border, and parts of the block so far
         self.parts: list[tuple[str, bool]] = []
         self.block: list[tuple[str, int, frozenset[str], bool]] = []
-        self.space, self.n_open = True, Counter()
+        self.space = True
+        #: Places of the open elements by tag, and of those that aren't inline.
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
         for kind, tag, raw in markup(html):
             if kind == "text":
                 self.parts.append((unescape(raw), self.stack[-1][3]))
@@ -186,7 +189,7 @@ class Page:
             return
         whole = "".join(b[0] for b in self.block)
         if not whole.isspace():
-            tag = next((e[0] for e in reversed(self.stack[-8:]) if e[0] not in _NAMED), "")
+            tag = self.stack[self.blocks[-1]][0]
             form = _form(tag, whole, len(whole.split()), sum(b[1] for b in self.block))
             for text, _, features, inside in self.block:
                 self.content |= inside
@@ -197,8 +200,10 @@ class Page:
     def _drop(self, i: int) -> None:
         """Closes the open elements from place ``i`` on."""
         for e in self.stack[i:]:
-            self.n_open[e[0]] -= 1
+            self.at[e[0]].pop()
         del self.stack[i:]
+        while self.blocks[-1] >= i:
+            self.blocks.pop()
 
     def _open(self, tag: str, raw: str) -> None:
         inline = tag in _INLINE
@@ -210,9 +215,7 @@ class Page:
             return
         if not inline:
             # a paragraph ends where a block begins
-            i = len(self.stack) - 1
-            while self.stack[i][0] in _NAMED:
-                i -= 1
+            i = self.blocks[-1]
             if self.stack[i][0] == "p":
                 self._drop(i)
             elif tag in _CELLS and self.stack[i][0] in _CELLS and self.stack[i][0] != "tr":
@@ -222,10 +225,9 @@ class Page:
             self._drop(len(self.stack) - 1)
         if tag in ("article", "main"):
             # a block of the page's head that was left open
-            for i, e in enumerate(self.stack[:16]):
-                if e[0] in ("nav", "head", "header"):
-                    self._drop(i)
-                    break
+            left_open = [self.at[t][0] for t in ("nav", "head", "header") if self.at[t]]
+            if left_open:
+                self._drop(min(left_open))
         _, features, inside, linked = self.stack[-1]
         own = (_cached_element if len(raw) < 300 else _element)(tag, raw)
         if "href" in own:
@@ -239,29 +241,25 @@ class Page:
             if inline:
                 self._split()  # a part with a name of its own, in the middle of a block
             features = features.union(own)
+        self.at[tag].append(len(self.stack))
+        if tag not in _NAMED:
+            self.blocks.append(len(self.stack))
         self.stack.append((tag, features, inside, linked))
-        self.n_open[tag] += 1
 
     def _close(self, tag: str) -> None:
         if tag in _INLINE:
-            if tag in _NAMED and self.n_open[tag] > 0:
-                for i in range(len(self.stack) - 1, max(0, len(self.stack) - 9), -1):
-                    if self.stack[i][0] == tag:
-                        if self.stack[i][1] is not self.stack[i - 1][1]:
-                            self._split()
-                        self._drop(i)
-                        break
-                    if self.stack[i][0] not in _NAMED and tag != "a":
-                        break
+            # a link may be closed across blocks, other inline elements within theirs only
+            if tag in _NAMED and self.at[tag] and (tag == "a" or self.at[tag][-1] > self.blocks[-1]):
+                i = self.at[tag][-1]
+                if self.stack[i][1] is not self.stack[i - 1][1]:
+                    self._split()
+                self._drop(i)
             return
         self._flush()
         self.space = True
-        if self.n_open[tag] <= 0 or tag == "p" and self.stack[-1][0] not in ("p", *_NAMED):
+        if not self.at[tag] or tag == "p" and self.stack[-1][0] not in ("p", *_NAMED):
             return
-        i = len(self.stack) - 1
-        while self.stack[i][0] != tag:
-            i -= 1
-        self._drop(i)
+        self._drop(self.at[tag][-1])
 
     def features(self, s: Segment) -> frozenset[str]:
         return s.features | {"outside"} if self.content and not s.inside else s.features

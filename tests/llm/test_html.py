@@ -90,3 +90,26 @@ def test_markup_reads_attributes_and_quotes():
     got = list(markup("a<b x='>' y=\">\">c</b><i don't>d</i><p a=\"b>e<!-- > -->f<1 g<script>if (a<b) '</p>'</script>h<q"))
     assert "".join(t for k, _, t in got if k == "text") == "acdef<1 gh"
     assert [n for k, n, _ in got if k == "open"] == ["b", "i", "p", "script"]
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 40, 400])
+def test_text_after_deep_inline_elements_is_kept(depth):
+    """However many inline elements a link leaves open, its end is found, and the rest of the paragraph is no link."""
+    prose = "The old house on the hill was built by her grandfather, and nobody had lived in it for a long time. " * 3
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><p>{prose}</p><p>Read <a href=x>{'<span>' * depth}a link</a> and then {prose}</p><p>{prose}</p></article></body></html>"
+    text = main_text(page)
+    assert "Read a link and then The old house" in text and "Home" not in text
+
+
+def test_a_head_left_open_at_any_depth_ends_at_the_article():
+    prose = "The old house on the hill was built by her grandfather, and nobody had lived in it for a long time. " * 3
+    page = f"<html><body>{'<div>' * 30}<header><nav><a href=/a>Home</a><article><p>{prose}</p><p>{prose}</p></article></body></html>"
+    text = main_text(page)
+    assert text.count("The old house") == 6 and "Home" not in text
+
+
+def test_deep_markup_takes_linear_time():
+    begun = time.perf_counter()
+    for piece in ("<span>x", "<a href=y>x", "<div><span>x", "</span><p>", "<header>"):
+        main_text(piece * (300_000 // len(piece)))
+    assert time.perf_counter() - begun < 40
