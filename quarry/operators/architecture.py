@@ -156,6 +156,23 @@ def design_patterns(classes: DataFrame) -> DataFrame:
     return classes.select("scan_id", "module_id", F.col("name").alias("class_name"), F.inline(pairs))
 
 
+def directory_styles(modules: DataFrame) -> DataFrame:
+    """scan_id, pattern, confidence of the styles that a tree's first three segments show: MVC and layers."""
+    layers = ("routers", "services", "engines", "models", "schemas")
+    names = {*layers, "controllers", "views"}
+    heads = modules.select("scan_id", F.explode(F.slice(F.split("file_path", "/"), 1, 3)).alias("d")).filter(F.col("d").isin(*sorted(names)))
+    have = heads.groupBy("scan_id").agg(F.collect_set("d").alias("dirs"))
+
+    def count(*wanted: str) -> Column:
+        return F.size(F.array_intersect("dirs", F.array(*[F.lit(w) for w in wanted])))
+
+    found = F.array(
+        F.struct(F.lit("mvc").alias("pattern"), F.when(count("controllers", "models", "views") == 3, F.lit(0.9)).alias("confidence")),
+        F.struct(F.lit("layered").alias("pattern"), F.when(count(*layers) >= 3, F.round(0.6 + 0.08 * count(*layers), 2)).alias("confidence")),
+    )
+    return have.select("scan_id", F.inline(F.filter(found, lambda x: x["confidence"].isNotNull())))
+
+
 def span(line: str, end: Column | int, w) -> Column:
     """Lines from a symbol to the next one of its window, or to ``end``."""
     last = F.lit(end) if isinstance(end, int) else end
@@ -262,6 +279,24 @@ def radar_dotted(counts: DataFrame) -> DataFrame:
     return counts.select("scan_id", *[F.round(v, 1).alias(k) for k, v in dims.items()], F.round(mean, 1).alias("overall"), grade.alias("grade"))
 
 
+def dotted_radar_inputs(modules: DataFrame, edges: DataFrame, cycles: DataFrame, violations: DataFrame) -> DataFrame:
+    """The counts that ``radar_dotted`` takes, from the tables of an architecture scan.
+
+    ``modules``: scan_id, file_path, layer (null: none); ``edges``: as of ``merged_edges``; ``cycles``: scan_id, go_severity;
+    ``violations``: scan_id, kind (layer, godclass, longmethod, overeng). A scan without modules has no row.
+    """
+    depth = F.length("file_path") - F.length(F.replace("file_path", F.lit("/"), F.lit("")))
+    rows = modules.groupBy("scan_id").agg(F.count(F.lit(1)).alias("modules"), F.count("layer").alias("layered"), F.avg(depth).alias("depth_avg"), F.max(depth).alias("depth_max"))
+    out = edges.filter("kind = 'import'").groupBy("scan_id").agg(F.sum("count").alias("fan_out"))
+    kinds = {"violations": "layer", "gods": "godclass", "longs": "longmethod", "noise": "overeng"}
+    told = violations.groupBy("scan_id").agg(*[F.count_if(F.col("kind") == k).alias(name) for name, k in kinds.items()])
+    rings = cycles.groupBy("scan_id").agg(*[F.count_if(F.col("go_severity") == k).alias(k) for k in ("critical", "major", "minor")])
+    for other in (out, told, rings):
+        rows = rows.join(other, "scan_id", "left")
+    rows = rows.fillna(0, ["fan_out", *kinds, "critical", "major", "minor"])
+    return rows.withColumn("fan_avg", F.col("fan_out") / F.col("modules"))
+
+
 def hierarchy(leaves: DataFrame) -> DataFrame:
     """Sizes and colours of every directory and file. ``leaves``: scan_id, path, value, color.
 

@@ -536,6 +536,27 @@ def q_arch_calls(spark, d):
     return architecture_facts(files(spark, d))["calls"]
 
 
+@query()
+def q_arch_violations(spark, d):
+    from quarry.plans.scan import architecture_scan
+
+    return architecture_scan(files(spark, d))["violations"]
+
+
+@query()
+def q_arch_radar(spark, d):
+    from quarry.plans.scan import architecture_scan
+
+    return architecture_scan(files(spark, d))["radar"]
+
+
+@query(f"""WITH d AS (SELECT DISTINCT scan_id, unnest(string_split(file_path, '/')[1:3]) AS d FROM {PATHS_SQL}),
+n AS (SELECT scan_id, count_if(d IN ('controllers', 'models', 'views')) AS mvc, count_if(d IN ('routers', 'services', 'engines', 'models', 'schemas')) AS hits FROM d GROUP BY scan_id)
+SELECT scan_id, 'mvc' AS pattern, 0.9::DOUBLE AS confidence FROM n WHERE mvc = 3 UNION ALL SELECT scan_id, 'layered', round(0.6 + 0.08 * hits, 2)::DOUBLE FROM n WHERE hits >= 3""")
+def q_directory_styles(spark, d):
+    return A.directory_styles(derived.modules(spark, d))
+
+
 @query()
 def q_module_edges(spark, d):
     from quarry.plans.scan import dependency_graph
