@@ -214,8 +214,8 @@ def q_radar_delta(s):
     scored = s.scans.withColumn("score", F.greatest(F.lit(0.0), 100.0 - F.col("price") / 5000))
     rows = store.with_previous(scored, ["score"], status=None)
     return rows.select(
-        F.col("version_id").alias("o_custkey"), F.col("scan_id").alias("o_orderkey"), F.round("score", 1).alias("score"),
-        (F.round("score_delta", 1) + 0.0).alias("delta"),
+        F.col("version_id").alias("o_custkey"), F.col("scan_id").alias("o_orderkey"), scoring.tenths(F.col("score")).alias("score"),
+        (scoring.tenths(F.col("score_delta")) + 0.0).alias("delta"),
     )
 
 
