@@ -82,9 +82,23 @@ def dotted_rank(layer: Column) -> Column:
 
 
 def dotted_violations(edges: DataFrame) -> DataFrame:
-    """Import edges from a lower to an upper layer, by dotted ids."""
-    rows = edges.filter("kind = 'import'").withColumn("src_layer", dotted_layer(F.col("src"))).withColumn("dst_layer", dotted_layer(F.col("dst")))
-    return rows.filter(dotted_rank(F.col("src_layer")) > dotted_rank(F.col("dst_layer"))).select("scan_id", "src", "src_layer", "dst", "dst_layer", F.lit("error").alias("severity"))
+    """Import edges from a lower to an upper layer, by dotted ids. The place in the list of layers is looked up by a map, once for
+    each end."""
+    names, ranks = [name for name, _, _ in C.GO_LAYERS], [rank for _, _, rank in C.GO_LAYERS]
+    first_of = {w: i for i, (_, words, _) in reversed([*enumerate(C.GO_LAYERS)]) for w in words}
+    place = F.create_map(*[F.lit(x) for pair in first_of.items() for x in pair])
+
+    def first(module: str) -> Column:
+        return F.array_min(F.transform(F.split(F.lower(module), r"\."), lambda w: F.coalesce(F.element_at(place, w), F.lit(len(names)))))
+
+    rows = edges.filter("kind = 'import'").select("scan_id", "src", "dst", first("src").alias("s"), first("dst").alias("d"))
+
+    def at(values: list, place: str) -> Column:
+        """The value at a place; null after the last, where no layer is named."""
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col(place))
+
+    rows = rows.filter(at(ranks, "s") > at(ranks, "d"))
+    return rows.select("scan_id", "src", at(names, "s").alias("src_layer"), "dst", at(names, "d").alias("dst_layer"), F.lit("error").alias("severity"))
 
 
 def arch_patterns(modules: DataFrame, edges: DataFrame | None = None) -> DataFrame:
