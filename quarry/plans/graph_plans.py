@@ -402,11 +402,15 @@ def q_violations_by_kind(spark, d):
 
 @query(f"SELECT l.rel_path, l.line_no AS line, string_agg(c.raw, chr(10) ORDER BY c.line_no) AS snippet FROM {LINES} l JOIN {LINES} c ON c.scan_id = l.scan_id AND c.rel_path = l.rel_path AND c.line_no BETWEEN l.line_no - 1 AND l.line_no + 1 WHERE length(l.raw) > 60 GROUP BY ALL")
 def q_snippet_context(spark, d):
-    from quarry.operators.lines import line_array, lines
+    from quarry.operators.lines import line_array
 
-    long = lines(files(spark, d), "text").filter(F.length("raw") > 60)
-    lo = F.greatest(F.lit(1), F.col("line_no") - 1)
-    return long.select("rel_path", F.col("line_no").alias("line"), F.array_join(F.slice(line_array(F.col("text")), lo, F.col("line_no") + 2 - lo), "\n").alias("snippet"))
+    def around(raw, i):
+        lo = F.greatest(F.lit(1), i)
+        return F.when(F.length(raw) > 60, F.struct((i + 1).alias("line"), F.array_join(F.slice("ls", lo, i + 3 - lo), "\n").alias("snippet")))
+
+    # a text is split once, and its snippets are made before they are exploded
+    texts = files(spark, d).select("rel_path", F.explode(F.array(line_array(F.col("text")))).alias("ls"))
+    return texts.select("rel_path", F.inline(F.filter(F.transform("ls", around), lambda x: x.isNotNull())))
 
 
 @query(f"SELECT rel_path, regexp_replace(regexp_replace(regexp_replace(rel_path, '^.*src/(main|test)/java/', ''), '\\.[A-Za-z0-9]+$', ''), '/', '.', 'g') AS module_id FROM {CORPUS_SQL} WHERE language <> 'config'")
