@@ -10,10 +10,19 @@ ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 BLANK = r"^[\s\x1C-\x1F\x85 ]*$"
 
 
+def once(value: Column) -> Column:
+    """A value that is made once a row, however often it is read: filters are not pushed below ``explode``, which would make it anew at
+    each use. To be selected under an alias, one in a select."""
+    return F.explode(F.array(value))
+
+
 def line_array(text: Column) -> Column:
-    """The lines of a text; an end at its end starts no further line."""
-    parts = F.split(F.coalesce(text, F.lit("")), ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """The lines of a text, which is split once; an end at its end starts no further line."""
+
+    def told(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    return F.get(F.transform(F.array(F.split(F.coalesce(text, F.lit("")), ENDS, -1)), told), F.lit(0))
 
 
 def _lines_of(corpus: DataFrame) -> Column:

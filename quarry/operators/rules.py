@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quarry.functions import config as C
 from quarry.functions.java_facts import java_facts, java_tokens, java_words
 from quarry.functions.python_facts import SCANNED, lexed, python_nodes, python_tokens, python_words
-from quarry.operators.lines import line_array, lines, strip
+from quarry.operators.lines import line_array, lines, once, strip
 from quarry.operators.stage import stored
 
 FUNCTIONS = ("FunctionDef", "AsyncFunctionDef")
@@ -41,7 +41,7 @@ class Facts:
         # a parse costs far more than the shuffle of a text, so files are dealt evenly before it
         self.dealt = corpus.repartition("scan_id", "rel_path")
         # behind the shuffle a made text is a column, not an expression that each use of it computes anew
-        self.corpus = self.dealt.withColumn("ls", line_array(F.col("text")))
+        self.corpus = self.dealt.withColumn("ls", once(line_array(F.col("text"))))
         if shared:
             # a text is split into lines once
             self.corpus = self.dealt = self.dealt.withColumn("ls", line_array(F.col("text"))).persist()
@@ -239,8 +239,8 @@ def _row_findings(facts: Facts, table: str, rules: list[Rule]) -> DataFrame:
         of = h.when if table != "lines" else (F.col("language") == r.language) & h.when
         hits.append(F.when(of, found))
         conditions.append(of)
-    if table == "lines":
-        rows = _with_line_parts(rows)
+    if table == "lines":  # files of other languages are not made
+        rows = _with_line_parts(rows.filter(F.col("language").isin(sorted({r.language for r in rules}))))
     else:  # most rows meet no rule, and no array is made for them
         rows = rows.filter(reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for c in conditions]))
     return rows.select("scan_id", "rel_path", F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.lines import once
+
 WORDS = 16
 _ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIRS = ("controllers", "services", "repository", "models", "infra", "views", "events", "api", "utils", "core")
@@ -66,18 +68,19 @@ def quoted(text: str) -> str:
 # ---- the same rule twice: columns, and SQL ----
 
 
-def _blocks(w: Column, templates: tuple[str, ...]) -> Column:
-    def block(g: Column) -> Column:
-        def word(i: int) -> Column:
-            return F.coalesce(F.get(w, g * WORDS + i), F.lit("pad"))
+def _literal(text: str) -> str:
+    """A text in Spark's SQL. A dollar sign would begin a variable."""
+    for c, code in (("\\", "\\\\"), ("'", "\\'"), ("$", "\\u0024"), ("\n", "\\n"), ("\t", "\\t")):
+        text = text.replace(c, code)
+    return f"'{text}'"
 
-        pick, out = (F.length(word(0)) * 7 + F.length(word(1)) * 3 + F.length(word(2))) % len(templates), F.lit("")
-        for k, t in reversed([*enumerate(templates)]):
-            out = F.when(pick == k, F.concat(*[F.lit(p) if isinstance(p, str) else word(p) for p in _pieces(t)])).otherwise(out)
-        return out
 
-    n = F.ceil(F.size(w) / WORDS).cast("int")
-    return F.array_join(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), block)).otherwise(F.array()), "\n")
+def _blocks(templates: tuple[str, ...]) -> str:
+    """Blocks of ``w``, whose size is a multiple of ``WORDS``: a run of words meets the number of its template, then that template."""
+    pick = f"(length(w[g]) * 7 + length(w[g + 1]) * 3 + length(w[g + 2])) % {len(templates)}"
+    cases = " ".join(f"WHEN r.k = {k} THEN concat({', '.join(_literal(p) if isinstance(p, str) else f'r.b[{p}]' for p in _pieces(t))})" for k, t in enumerate(templates))
+    runs = f"transform(sequence(0, size(w) - 1, {WORDS}), g -> struct(slice(w, g + 1, {WORDS}) AS b, {pick} AS k))"
+    return f"CASE WHEN size(w) > 0 THEN array_join(transform({runs}, r -> CASE {cases} END), chr(10)) ELSE '' END"
 
 
 def _blocks_sql(templates: tuple[str, ...]) -> str:
@@ -109,11 +112,11 @@ def files(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.expr(_SCAN).alias("scan_id"), F.expr(_LANGUAGE).alias("language"), F.expr(_DIR).alias("dir"),
         F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), _ABC, _ABC.lower()), F.lit("[a-z]+"), F.lit(0)).alias("w"),
     )
-    rows = rows.withColumn("rel_path", F.expr(_PATH))
-    w, kind = F.col("w"), F.col("language")
-    body = F.when(kind == "python", _blocks(w, PYTHON)).when(kind == "java", _blocks(w, JAVA))
-    body = body.when(F.col("rel_path").endswith(".json"), _blocks(w, JSON)).otherwise(_blocks(w, CONFIG))
-    return rows.select("scan_id", "rel_path", "language", F.concat(F.expr(_HEAD), body, F.expr(_TAIL)).alias("text"))
+    # the last run is filled up
+    rows = rows.withColumns({"rel_path": F.expr(_PATH), "w": F.expr(f"concat(w, array_repeat('pad', pmod(-size(w), {WORDS})))")})
+    body = f"CASE WHEN language = 'python' THEN {_blocks(PYTHON)} WHEN language = 'java' THEN {_blocks(JAVA)} WHEN rel_path LIKE '%.json' THEN {_blocks(JSON)} ELSE {_blocks(CONFIG)} END"
+    # a filter on a text or its lines would else be pushed down to here, and find the words of the text anew for each word of a block
+    return rows.select("scan_id", "rel_path", "language", once(F.concat(F.expr(_HEAD), F.expr(body), F.expr(_TAIL))).alias("text"))
 
 
 def _paths_sql() -> str:
