@@ -445,8 +445,9 @@ def config_origin(s: C.Settings) -> Hit:
 def config_syntax(f: Facts) -> DataFrame:
     from quarry.functions.config_syntax import syntax_error
 
-    rows = f.corpus.filter("language = 'config'").withColumn("error", syntax_error("rel_path", "text")).filter("error <> ''")
-    return _finding(rows, F.concat(F.lit("does not parse: "), "error"), F.lit(1))
+    rows = f.corpus.filter("language = 'config'").select(*_FILE, "ls", syntax_error("rel_path", "text").alias("error"))
+    rows = rows.select(*_FILE, "ls", once(F.col("error")).alias("error")).filter("error <> ''")
+    return _finding(rows, F.concat(F.lit("does not parse: "), "error"), F.lit(1), snippet=F.coalesce(strip(F.get("ls", F.lit(0))), F.lit("")))
 
 
 # ---- Python syntax ----
